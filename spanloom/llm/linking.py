@@ -5,7 +5,7 @@ sorted rows, so that a signature held by a third of all rows costs one pass
 and constant memory.  No group is ever collected or expanded into all pairs:
 buckets of up to ``small`` members give all their pairs, larger ones a star
 around their least member plus membership rows, which later rounds use to find
-what the star has missed.
+what the star has missed: by longer signatures, and in the end block by block.
 """
 
 from __future__ import annotations
@@ -19,27 +19,37 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-_OUT = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("hot", pa.int8())])
+BLOCK = 400
+
+_OUT = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("n", pa.int32())])
 
 
 def _numbers(column) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def bucket_rows(small: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Streams rows (sig, id) sorted by both; gives pairs (hot 0) and members of large buckets (hot 1)."""
+def bucket_rows(small: int, threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Streams rows (sig, id) sorted by both; gives pairs (x, y, n) with the number n > 0 of
+    signatures that they share there, and members (sig, id, 0) of large buckets.
+
+    An odd signature counts as ``threshold`` ones.
+    """
+
+    def pairs(parts: list) -> Iterator[pa.RecordBatch]:
+        if parts:
+            sig, x, y = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.lexsort((y, x))
+            x, y, n = x[order], y[order], np.where(sig[order] & 1, threshold, 1)
+            new = np.ones(len(x), bool)
+            new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            at = np.flatnonzero(new)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at]), pa.array(y[at]), pa.array(np.add.reduceat(n, at).astype(np.int32))], schema=_OUT)
 
-    def out(x: list, y: list, hot: int) -> Iterator[pa.RecordBatch]:
-        if x:
-            a, b = np.concatenate(x), np.concatenate(y)
-            if len(a):
-                if not hot:  # the same pair often shares many signatures
-                    order = np.lexsort((b, a))
-                    a, b = a[order], b[order]
-                    new = np.ones(len(a), bool)
-                    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-                    a, b = a[new], b[new]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), hot, np.int8))], schema=_OUT)
+    def members(parts: list) -> Iterator[pa.RecordBatch]:
+        if parts:
+            sig, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ids), pa.array(np.zeros(len(ids), np.int32))], schema=_OUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig0, ids0 = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the open bucket, or its last row once it is large
@@ -54,51 +64,51 @@ def bucket_rows(small: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 continue
             starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             sizes = np.diff(np.append(starts, len(sig)))
-            px, py, hx, hy = [], [], [], []
-            if large is not None:
-                k = sizes[0]
-                px.append(np.full(k - 1, large)), py.append(ids[1:k]), hx.append(sig[1:k]), hy.append(ids[1:k])
+            linked, hot = [], []
+
+            def star(lo: int, hi: int, least: int, linked=linked, sig=sig, ids=ids) -> None:
+                linked.append((sig[lo:hi], np.full(hi - lo, least), ids[lo:hi]))
+
             closed = np.ones(len(starts), bool)
             closed[-1] = False
             if large is not None:
+                k = sizes[0]
+                star(1, k, large)
+                hot.append((sig[1:k], ids[1:k]))
                 closed[0] = False
-            few = closed & (sizes > 1) & (sizes <= small)
-            rows = np.repeat(few, sizes)
+            rows = np.repeat(closed & (sizes > 1) & (sizes <= small), sizes)
             s, i = sig[rows], ids[rows]
             for d in range(1, small):
-                if len(s) <= d:
-                    break
-                same = s[d:] == s[:-d]
+                same = s[d:] == s[:-d] if len(s) > d else np.zeros(0, bool)
                 if not same.any():
                     break
-                px.append(i[:-d][same]), py.append(i[d:][same])
-            many = closed & (sizes > small)
-            for b in np.flatnonzero(many):
+                linked.append((s[d:][same], i[:-d][same], i[d:][same]))
+            for b in np.flatnonzero(closed & (sizes > small)):
                 lo, hi = starts[b], starts[b] + sizes[b]
-                px.append(np.full(hi - lo - 1, ids[lo])), py.append(ids[lo + 1 : hi])
-                hx.append(sig[lo:hi]), hy.append(ids[lo:hi])
+                star(lo + 1, hi, ids[lo])
+                hot.append((sig[lo:hi], ids[lo:hi]))
             last = starts[-1]
             if len(starts) > 1:
                 large = None
             if large is None and sizes[-1] > small:
                 large = ids[last]
-                px.append(np.full(sizes[-1] - 1, large)), py.append(ids[last + 1 :])
-                hx.append(sig[last:]), hy.append(ids[last:])
+                star(last + 1, len(sig), large)
+                hot.append((sig[last:], ids[last:]))
             cut = len(sig) - 1 if large is not None else last
             sig0, ids0 = sig[cut:], ids[cut:]
-            yield from out(px, py, 0)
-            yield from out(hx, hy, 1)
+            yield from pairs(linked)
+            yield from members(hot)
         if large is None and len(ids0) > 1:
             a, b = np.triu_indices(len(ids0), 1)
-            yield from out([ids0[a]], [ids0[b]], 0)
+            yield from pairs([(sig0[a], ids0[a], ids0[b])])
 
     return run
 
 
-def candidates(sigs: DataFrame, small: int = 16) -> DataFrame:
-    """(x, y, hot) of signature rows (sig, id); one shuffle, on the signature."""
+def candidates(sigs: DataFrame, small: int = 16, threshold: int = 1) -> DataFrame:
+    """(x, y, n) of signature rows (sig, id); one shuffle, on the signature."""
     ordered = sigs.select("sig", "id").repartition("sig").sortWithinPartitions("sig", "id")
-    return ordered.mapInArrow(bucket_rows(small), "x long, y long, hot byte")
+    return ordered.mapInArrow(bucket_rows(small, threshold), "x long, y long, n int")
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,58 +168,137 @@ def labelled(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return joined.withColumn("cx", F.coalesce("cx", "x")).withColumn("cy", F.coalesce("cy", "y"))
 
 
+def _checked(pairs: DataFrame, most: int = 50_000) -> DataFrame:
+    """``pairs`` with a broadcast hint if it has been counted to be small (at most 16 bytes a row)."""
+    return F.broadcast(pairs) if pairs.limit(most + 1).count() <= most else pairs
+
+
+def similar(sets_a: list[np.ndarray], sets_b: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set of one block (of distinct numbers), those of the other with Jaccard >= num/den."""
+    sizes = np.array([len(b) for b in sets_b])
+    if not len(sizes) or not sizes.sum():
+        return
+    values, at = np.unique(np.concatenate(sets_b), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets_b)), sizes)
+    for k, a in enumerate(sets_a):
+        place = np.searchsorted(values, a)
+        place[place == len(values)] = 0
+        marked = np.zeros(len(values), bool)
+        marked[place[values[place] == a]] = True
+        both = np.bincount(owner[marked[at]], minlength=len(sets_b))
+        yield k, np.flatnonzero((both > 0) & (den * both >= num * (len(a) + sizes - both)))
+
+
+def across(hot: DataFrame, prepared: DataFrame, as_sets: Callable[[list, list], tuple[list, list]], num: int, den: int) -> DataFrame:
+    """Links (a, b) between different components among ids that share a large bucket.
+
+    ``hot``: (sig, id, comp).  Ids connected by buckets form groups, a group is
+    dealt into blocks of about ``BLOCK`` ids by hash, and each pair of its blocks is
+    one row of work; it returns one link for an id and another component.
+    """
+    least = hot.groupBy("sig").agg(F.min("id").alias("b"))
+    groups = components(hot.join(least, "sig").select(F.col("id").alias("a"), "b").distinct())
+    members = hot.select("id", "comp").distinct().join(groups.select("id", F.col("comp").alias("grp")), "id")
+    members = scratch.save(members, "hot-members")
+    sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    column = [c for c in prepared.columns if c != "id"][0]
+    blocks = dealt.join(prepared, "id").groupBy("grp", "block").agg(F.collect_list(F.struct("id", "comp", F.col(column).alias("content"))).alias("rows"))
+    blocks = scratch.save(blocks, "blocks")
+    here = blocks.select("grp", "block")
+    first, second = here.select("grp", F.col("block").alias("i")), here.select("grp", F.col("block").alias("j"))
+    work = first.join(second, "grp").where("i <= j").repartition("grp", "i", "j")
+    work = work.join(blocks.select("grp", F.col("block").alias("i"), F.col("rows").alias("p")), ["grp", "i"]).join(blocks.select("grp", F.col("block").alias("j"), F.col("rows").alias("q")), ["grp", "j"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, q in zip(batch.column(0), batch.column(1), strict=True):
+                p, q = p.as_py(), q.as_py()
+                comp = np.array([r["comp"] for r in q])
+                a, b = [], []
+                for k, found in similar(*as_sets([r["content"] for r in p], [r["content"] for r in q]), num, den):
+                    found = found[comp[found] != p[k]["comp"]]
+                    _, one = np.unique(comp[found], return_index=True)
+                    a += [p[k]["id"]] * len(one)
+                    b += [q[i]["id"] for i in found[one]]
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return work.select("p", "q").mapInArrow(run, "a long, b long")
+
+
 def link(
     levels: list[Callable[[DataFrame | None], DataFrame]],
     prepare: Callable[[DataFrame], DataFrame],
     verify: Callable[[DataFrame, DataFrame], DataFrame],
+    as_sets: Callable[[list, list], tuple[list, list]],
+    num: int,
+    den: int,
     small: int = 16,
+    threshold: int = 1,
 ) -> DataFrame | None:
-    """Components (id, comp) of the graph of verified pairs that share a signature.
+    """Components (id, comp) of the graph of verified pairs that share ``threshold`` signatures.
 
     ``levels``: functions that give (sig, id) rows; the first for all members,
     each further one, by longer signatures, for the ids it gets: those whose
     large buckets still hold several components.  Every level by itself must be
-    complete; what the last leaves open is compared pair by pair, components
-    differing.  ``prepare`` turns ids into what ``verify(pairs, prepared)`` needs.
+    complete; what the last leaves open is compared block by block.  ``prepare``
+    turns ids into (id, content), which ``verify(pairs, prepared)`` joins and
+    ``as_sets`` makes sets of numbers of, for two blocks at a time.
     Returns None if there is no link.
     """
     edges: DataFrame | None = None
     comp: DataFrame | None = None
     ids: DataFrame | None = None
+
+    def linked(new: DataFrame) -> None:
+        """Adds verified links (a, b) to ``edges`` and ``comp``."""
+        nonlocal edges, comp
+        new = scratch.save(new, "edges")
+        scratch.release(new.sparkSession)
+        if new.take(1):
+            edges = new if edges is None else edges.union(new)
+            comp = scratch.save(components(edges), "components")
+            scratch.release(new.sparkSession)
+
+    def checked(pairs: DataFrame, prepared: DataFrame) -> None:
+        pairs = scratch.save(pairs, "tried")
+        if pairs.take(1):
+            linked(verify(_checked(pairs), prepared).select(F.col("x").alias("a"), F.col("y").alias("b")))
+
     for depth, level in enumerate(levels):
-        found = scratch.save(candidates(level(ids), small), "candidates")
+        found = scratch.save(candidates(level(ids), small, threshold), "candidates")
         scratch.release(found.sparkSession)
-        pairs = scratch.save(found.where("hot = 0").groupBy("x", "y").agg(F.count("*").alias("n")), "pairs")
+        pairs = found.where("n > 0").groupBy("x", "y").agg(F.sum("n").alias("n")).where(F.col("n") >= threshold)
         if comp is not None:
             pairs = labelled(pairs, comp).where("cx <> cy").select("x", "y", "n")
-        members = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).union(found.where("hot = 1").select(F.col("y").alias("id")))
-        prepared = scratch.save(prepare(members.distinct()), "members")
-        scratch.release(found.sparkSession)
-        # first the one partner of each member with which it shares most signatures
-        first = pairs.groupBy("y").agg(F.max_by("x", F.struct("n", -F.col("x"))).alias("x")).select("x", "y")
-        new = scratch.save(verify(first, prepared), "edges")
-        edges = new if edges is None else edges.union(new)
-        comp = scratch.save(components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))), "components")
-        rest = labelled(pairs.select("x", "y").join(first, ["x", "y"], "left_anti"), comp).where("cx <> cy").select("x", "y")
-        more = scratch.save(verify(rest, prepared), "edges")
-        if more.take(1):
-            edges = edges.union(more)
-            comp = scratch.save(components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))), "components")
+        pairs = scratch.save(pairs, "pairs")
+        members = scratch.save(pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct(), "members")
+        if members.take(1):
+            prepared = scratch.save(prepare(members), "prepared")
+            scratch.release(found.sparkSession)
+            # first the one partner of each member with which it shares most signatures
+            first = scratch.save(pairs.groupBy("y").agg(F.max_by("x", F.struct("n", -F.col("x"))).alias("x")).select("x", "y"), "first")
+            checked(first, prepared)
+            rest = pairs.select("x", "y").join(first, ["x", "y"], "left_anti")
+            if comp is not None:
+                rest = labelled(rest, comp).where("cx <> cy").select("x", "y")
+            checked(rest, prepared)
+            scratch.drop(prepared)
         # members of large buckets that hold more than one component
-        hot = found.where("hot = 1").select(F.col("x").alias("sig"), F.col("y").alias("id"))
-        hot = hot.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        hot = found.where("n = 0").select(F.col("x").alias("sig"), F.col("y").alias("id"))
+        if not hot.take(1):
+            break
+        if comp is not None:
+            hot = hot.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        else:
+            hot = hot.withColumn("comp", F.col("id"))
         split = hot.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
         hot = scratch.save(hot.join(split, "sig", "left_semi"), "hot")
+        scratch.drop(found)
         if not hot.take(1):
             break
         ids = hot.select("id").distinct()
         if depth == len(levels) - 1:
-            a = hot.select("sig", F.col("id").alias("x"), F.col("comp").alias("cx"))
-            b = hot.select("sig", F.col("id").alias("y"), F.col("comp").alias("cy"))
-            across = a.join(b, "sig").where("cx < cy").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-            more = scratch.save(verify(across, prepared), "edges")
-            if more.take(1):
-                edges = edges.union(more)
-                comp = scratch.save(components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))), "components")
+            linked(across(hot, scratch.save(prepare(ids), "prepared"), as_sets, num, den))
     return comp
-

@@ -18,6 +18,8 @@ Two refinements keep this exact and cheaper:
   ``spare`` additional partitions make up for them; a set with more empty ones
   than that also gives its prefix, the ``l - ceil(l * num / den) + 1`` features
   least in hash order, of which similar sets always share one.
+* ``SHARED - 1`` further partitions make similar sets agree on ``SHARED`` signatures
+  at least (or on one of two prefixes), and pairs that share fewer are left out.
 
 Edge cases: a document that is null, empty or without words has n_shingles 0
 and links with nothing; one with fewer words than n is a single n-gram.
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from . import linking, scratch, texthash
 from .texthash import mix, segment_sums, signed
 
-WIDTH, NUM, DEN = 5, 80, 100
+WIDTH, NUM, DEN, SHARED = 5, 80, 100, 3
 
 
 def _sets(batch: pa.RecordBatch, column: int, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -50,7 +52,7 @@ def _sets(batch: pa.RecordBatch, column: int, width: int) -> Iterator[tuple[int,
 
 
 def _digest(features: np.ndarray, per: np.ndarray) -> np.ndarray:
-    """Identifies a set; the low bit of no use is not special-cased."""
+    """Identifies a set."""
     return signed(mix(segment_sums(mix(features ^ np.uint64(0x5851F42D4C957F2D)), per) + np.diff(per).astype(np.uint64)))
 
 
@@ -71,7 +73,7 @@ def set_digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def signatures(
     features: np.ndarray, per: np.ndarray, ids: np.ndarray, num: int = NUM, den: int = DEN, n2: int = 1, k2: int = 0
 ) -> tuple[np.ndarray, np.ndarray]:
-    """PartEnum signatures (sig, id) of the sets in ``features``, cut by ``per``."""
+    """PartEnum signatures (sig, id) of the sets in ``features``, cut by ``per``; those of prefixes are odd."""
     sizes = np.diff(per)
     keep_sig, keep_id = [], []
     level = 1_000_003 * n2 + k2
@@ -94,7 +96,7 @@ def signatures(
                 # the greatest difference: both at the edge, or |a| = edge and |b| = edge * den / num
                 d = most * (den - num) // num if cross else 2 * most * (den - num) // (den + num)
                 n1 = d // (k2 + 1) + 1
-                n1 += _spare(n1)
+                n1 += _spare(n1) + SHARED - 1
                 which = np.flatnonzero(chosen)
                 local = np.full(len(sizes), -1, np.int64)
                 local[which] = np.arange(len(which))
@@ -106,7 +108,7 @@ def signatures(
                 d_own = np.minimum(sizes[which] * (den - num) // num, d)
                 need = d_own // (k2 + 1) + 1
                 spare = _spare(need)
-                n_own = np.minimum(need + spare, n1)
+                n_own = np.minimum(need + spare + SHARED - 1, n1)
                 at = own * n1 + cell
                 used = cell < n_own[own]
                 flat = at[used] * n2 + sub[used]
@@ -124,14 +126,14 @@ def signatures(
                     bad |= live & ~filled
                     give = live & filled
                     salt = np.uint64(((int(edge) * 2 + cross) * 7919 + level * 104729 + sum(1 << (s + 40) for s in subset)) & (2**64 - 1))
-                    keep_sig.append(mix(total[give] ^ mix(part[give].astype(np.uint64) + salt)))
+                    keep_sig.append(mix(total[give] ^ mix(part[give].astype(np.uint64) + salt)) & ~np.uint64(1))
                     keep_id.append(ids[which[doc[give]]])
-                bare = np.bincount(doc[bad], minlength=len(which)) > n_own - need
+                bare = np.bincount(doc[bad], minlength=len(which)) > n_own - need - (SHARED - 1)
                 for k in np.flatnonzero(bare):
                     own_features = features[per[which[k]] : per[which[k] + 1]]
                     n = sizes[which[k]]
                     prefix = own_features[: n - (n * num + den - 1) // den + 1]
-                    keep_sig.append(mix(prefix ^ np.uint64(0xA0761D6478BD642F + int(edge) * 2 + cross)))
+                    keep_sig.append(mix(prefix ^ np.uint64(0xA0761D6478BD642F + int(edge) * 2 + cross)) | np.uint64(1))
                     keep_id.append(np.full(len(prefix), ids[which[k]]))
     if not keep_sig:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -153,6 +155,17 @@ def _signature_rows(docs: DataFrame, width: int, num: int, den: int, n2: int, k2
     return docs.select("text").mapInArrow(run, "sig long, id long")
 
 
+def _packed(features: np.ndarray) -> bytes:
+    """The upper 40 bits of each hash, in five bytes."""
+    top = features >> np.uint64(24)
+    return (top >> np.uint64(8)).astype(np.uint32).tobytes() + top.astype(np.uint8).tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    n = len(packed) // 5
+    return np.frombuffer(packed, np.uint32, n).astype(np.uint64) << np.uint64(8) | np.frombuffer(packed, np.uint8, n, 4 * n)
+
+
 def verifier(num: int, den: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """Keeps the pairs (x, y) with den * |x & y| >= num * |x | y|."""
 
@@ -162,8 +175,8 @@ def verifier(num: int, den: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
             keep, last, a = [], None, None
             for i in range(len(x)):
                 if x[i] != last:
-                    last, a = x[i], np.frombuffer(fx[i], np.uint64)
-                b = np.frombuffer(fy[i], np.uint64)
+                    last, a = x[i], _unpacked(fx[i])
+                b = _unpacked(fy[i])
                 lo, hi = (a, b) if len(a) < len(b) else (b, a)
                 at = np.searchsorted(hi, lo)
                 at[at == len(hi)] = 0
@@ -207,12 +220,15 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for _, _, features, per in _sets(batch, 0, width):
-                    sets = [features[per[i] : per[i + 1]].tobytes() for i in range(len(per) - 1)]
+                    sets = [_packed(features[per[i] : per[i + 1]]) for i in range(len(per) - 1)]
                     yield pa.RecordBatch.from_arrays([pa.array(_digest(features, per)), pa.array(sets, pa.binary())], names=["id", "features"])
 
-        return docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(run, "id long, features binary").dropDuplicates(["id"])
+        return docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(run, "id long, features binary")
+
+    def as_sets(a: list, b: list) -> tuple[list, list]:
+        return [_unpacked(x) for x in a], [_unpacked(x) for x in b]
 
-    comp = linking.link([level(1, 0), level(5, 2)], prepare, verifier(num, den), small)
+    comp = linking.link([level(1, 0), level(5, 2)], prepare, verifier(num, den), as_sets, num, den, small, SHARED)
     if comp is None:
         comp = docs.sparkSession.createDataFrame([], "id long, comp long")
     named = comp.join(least, F.col("id") == F.col("set_id")).groupBy("comp").agg(F.min("least").alias("first"))
