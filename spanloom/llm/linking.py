@@ -4,8 +4,9 @@ Every step is a shuffle on a signature, a pair or a vertex, and streams over
 sorted rows, so that a signature held by a third of all rows costs one pass
 and constant memory.  No group is ever collected or expanded into all pairs:
 buckets of up to ``small`` members give all their pairs, larger ones a star
-around their least member plus membership rows, which later rounds use to find
-what the star has missed: by longer signatures, and in the end block by block.
+around their least member plus membership rows.  What the stars have not linked is
+compared block by block, so that a member's content is sent once for each block
+of its group and not once for each partner.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
 
-BLOCK = 400
+BLOCK, WIDTH = 400, 8192
 
 _OUT = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("n", pa.int32())])
 
@@ -173,62 +174,65 @@ def _checked(pairs: DataFrame, most: int = 50_000) -> DataFrame:
     return F.broadcast(pairs) if pairs.limit(most + 1).count() <= most else pairs
 
 
-def similar(sets_a: list[np.ndarray], sets_b: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set of one block (of distinct numbers), those of the other with Jaccard >= num/den."""
-    sizes = np.array([len(b) for b in sets_b])
-    if not len(sizes) or not sizes.sum():
-        return
-    values, at = np.unique(np.concatenate(sets_b), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets_b)), sizes)
-    for k, a in enumerate(sets_a):
-        place = np.searchsorted(values, a)
-        place[place == len(values)] = 0
-        marked = np.zeros(len(values), bool)
-        marked[place[values[place] == a]] = True
-        both = np.bincount(owner[marked[at]], minlength=len(sets_b))
-        yield k, np.flatnonzero((both > 0) & (den * both >= num * (len(a) + sizes - both)))
-
-
-def across(hot: DataFrame, prepared: DataFrame, as_sets: Callable[[list, list], tuple[list, list]], num: int, den: int) -> DataFrame:
-    """Links (a, b) between different components among ids that share a large bucket.
-
-    ``hot``: (sig, id, comp).  Ids connected by buckets form groups, a group is
-    dealt into blocks of about ``BLOCK`` ids by hash, and each pair of its blocks is
-    one row of work; it returns one link for an id and another component.
+def similar(sets_a: list[np.ndarray], sets_b: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which pairs (rows, columns) of two blocks of sets of distinct numbers have Jaccard >= num/den."""
+    size_a, size_b = (np.array([len(x) for x in part]) for part in (sets_a, sets_b))
+    values, at, often = np.unique(np.concatenate([*sets_a, *sets_b]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(size_a) + len(size_b)), np.concatenate([size_a, size_b]))
+    shared = often[at] > 1
+    column = np.cumsum(often > 1) - 1
+    owner, column, width = owner[shared], column[at[shared]], int((often > 1).sum())
+    both = np.zeros((len(size_a), len(size_b)), np.float32)
+    for lo in range(0, width, WIDTH):
+        here = (column >= lo) & (column < lo + WIDTH)
+        marks = np.zeros((len(size_a) + len(size_b), min(WIDTH, width - lo)), np.float32)
+        marks[owner[here], column[here] - lo] = 1
+        both += marks[: len(size_a)] @ marks[len(size_a) :].T
+    both = np.rint(both).astype(np.int64)
+    return (both > 0) & (den * both >= num * (size_a[:, None] + size_b[None, :] - both))
+
+
+def across(links: DataFrame, comp: DataFrame | None, prepare: Callable[[DataFrame], DataFrame], as_sets: Callable[[list, list], tuple[list, list]], num: int, den: int) -> DataFrame:
+    """Links (a, b) between different components, among ids that candidate links connect.
+
+    ``links``: (a, b).  What they connect forms groups; a group is dealt into blocks of
+    about ``BLOCK`` ids by hash, and each pair of its blocks is one row of work, which
+    returns one link for an id and another component.
     """
-    least = hot.groupBy("sig").agg(F.min("id").alias("b"))
-    groups = components(hot.join(least, "sig").select(F.col("id").alias("a"), "b").distinct())
-    members = hot.select("id", "comp").distinct().join(groups.select("id", F.col("comp").alias("grp")), "id")
-    members = scratch.save(members, "hot-members")
-    sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    groups = components(links).withColumnRenamed("comp", "grp")
+    if comp is not None:
+        groups = groups.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    else:
+        groups = groups.withColumn("comp", F.col("id"))
+    members = scratch.save(groups, "grouped")
+    sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("grp", "blocks")
+    dealt = scratch.save(members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "dealt")
+    prepared = prepare(dealt.select("id"))
     column = [c for c in prepared.columns if c != "id"][0]
     blocks = dealt.join(prepared, "id").groupBy("grp", "block").agg(F.collect_list(F.struct("id", "comp", F.col(column).alias("content"))).alias("rows"))
     blocks = scratch.save(blocks, "blocks")
+    scratch.release(blocks.sparkSession)
     here = blocks.select("grp", "block")
     first, second = here.select("grp", F.col("block").alias("i")), here.select("grp", F.col("block").alias("j"))
-    work = first.join(second, "grp").where("i <= j").repartition("grp", "i", "j")
+    work = first.join(second, "grp").where("i <= j")
     work = work.join(blocks.select("grp", F.col("block").alias("i"), F.col("rows").alias("p")), ["grp", "i"]).join(blocks.select("grp", F.col("block").alias("j"), F.col("rows").alias("q")), ["grp", "j"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, q in zip(batch.column(0), batch.column(1), strict=True):
                 p, q = p.as_py(), q.as_py()
-                comp = np.array([r["comp"] for r in q])
-                a, b = [], []
-                for k, found in similar(*as_sets([r["content"] for r in p], [r["content"] for r in q]), num, den):
-                    found = found[comp[found] != p[k]["comp"]]
-                    _, one = np.unique(comp[found], return_index=True)
-                    a += [p[k]["id"]] * len(one)
-                    b += [q[i]["id"] for i in found[one]]
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                comp_p, comp_q = np.array([r["comp"] for r in p]), np.array([r["comp"] for r in q])
+                near = similar(*as_sets([r["content"] for r in p], [r["content"] for r in q]), num, den) & (comp_p[:, None] != comp_q[None, :])
+                x, y = np.nonzero(near)
+                if len(x):
+                    _, one = np.unique(np.stack([x, comp_q[y]], axis=1), axis=0, return_index=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([p[k]["id"] for k in x[one]], pa.int64()), pa.array([q[k]["id"] for k in y[one]], pa.int64())], names=["a", "b"])
 
     return work.select("p", "q").mapInArrow(run, "a long, b long")
 
 
 def link(
-    levels: list[Callable[[DataFrame | None], DataFrame]],
+    sigs: DataFrame,
     prepare: Callable[[DataFrame], DataFrame],
     verify: Callable[[DataFrame, DataFrame], DataFrame],
     as_sets: Callable[[list, list], tuple[list, list]],
@@ -237,19 +241,15 @@ def link(
     small: int = 16,
     threshold: int = 1,
 ) -> DataFrame | None:
-    """Components (id, comp) of the graph of verified pairs that share ``threshold`` signatures.
-
-    ``levels``: functions that give (sig, id) rows; the first for all members,
-    each further one, by longer signatures, for the ids it gets: those whose
-    large buckets still hold several components.  Every level by itself must be
-    complete; what the last leaves open is compared block by block.  ``prepare``
-    turns ids into (id, content), which ``verify(pairs, prepared)`` joins and
-    ``as_sets`` makes sets of numbers of, for two blocks at a time.
-    Returns None if there is no link.
+    """Components (id, comp) of the graph of pairs that share ``threshold`` signatures and
+    have a Jaccard similarity of num/den or more.
+
+    ``sigs``: (sig, id).  ``prepare`` turns ids into (id, content), which
+    ``verify(pairs, prepared)`` joins and ``as_sets`` makes sets of numbers of, for two
+    blocks at a time.  Returns None if there is no link.
     """
     edges: DataFrame | None = None
     comp: DataFrame | None = None
-    ids: DataFrame | None = None
 
     def linked(new: DataFrame) -> None:
         """Adds verified links (a, b) to ``edges`` and ``comp``."""
@@ -261,44 +261,36 @@ def link(
             comp = scratch.save(components(edges), "components")
             scratch.release(new.sparkSession)
 
-    def checked(pairs: DataFrame, prepared: DataFrame) -> None:
-        pairs = scratch.save(pairs, "tried")
-        if pairs.take(1):
-            linked(verify(_checked(pairs), prepared).select(F.col("x").alias("a"), F.col("y").alias("b")))
-
-    for depth, level in enumerate(levels):
-        found = scratch.save(candidates(level(ids), small, threshold), "candidates")
+    found = scratch.save(candidates(sigs, small, threshold), "candidates")
+    scratch.release(found.sparkSession)
+    pairs = scratch.save(found.where("n > 0").groupBy("x", "y").agg(F.sum("n").alias("n")).where(F.col("n") >= threshold), "pairs")
+    # first the one partner of each member with which it shares most signatures
+    first = scratch.save(pairs.groupBy("y").agg(F.max_by("x", F.struct("n", -F.col("x"))).alias("x")).select("x", "y"), "first")
+    if first.take(1):
+        prepared = scratch.save(prepare(first.select(F.col("x").alias("id")).union(first.select(F.col("y").alias("id"))).distinct()), "prepared")
         scratch.release(found.sparkSession)
-        pairs = found.where("n > 0").groupBy("x", "y").agg(F.sum("n").alias("n")).where(F.col("n") >= threshold)
-        if comp is not None:
-            pairs = labelled(pairs, comp).where("cx <> cy").select("x", "y", "n")
-        pairs = scratch.save(pairs, "pairs")
-        members = scratch.save(pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct(), "members")
-        if members.take(1):
-            prepared = scratch.save(prepare(members), "prepared")
-            scratch.release(found.sparkSession)
-            # first the one partner of each member with which it shares most signatures
-            first = scratch.save(pairs.groupBy("y").agg(F.max_by("x", F.struct("n", -F.col("x"))).alias("x")).select("x", "y"), "first")
-            checked(first, prepared)
-            rest = pairs.select("x", "y").join(first, ["x", "y"], "left_anti")
-            if comp is not None:
-                rest = labelled(rest, comp).where("cx <> cy").select("x", "y")
-            checked(rest, prepared)
-            scratch.drop(prepared)
-        # members of large buckets that hold more than one component
-        hot = found.where("n = 0").select(F.col("x").alias("sig"), F.col("y").alias("id"))
-        if not hot.take(1):
-            break
-        if comp is not None:
-            hot = hot.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        else:
-            hot = hot.withColumn("comp", F.col("id"))
-        split = hot.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-        hot = scratch.save(hot.join(split, "sig", "left_semi"), "hot")
-        scratch.drop(found)
-        if not hot.take(1):
-            break
-        ids = hot.select("id").distinct()
-        if depth == len(levels) - 1:
-            linked(across(hot, scratch.save(prepare(ids), "prepared"), as_sets, num, den))
+        linked(verify(_checked(first), prepared).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        scratch.drop(prepared)
+    # then what is left between components: other pairs, and members of large buckets
+    rest = pairs.select("x", "y").join(first, ["x", "y"], "left_anti")
+    hot = found.where("n = 0").select(F.col("x").alias("sig"), F.col("y").alias("id"))
+    if comp is not None:
+        rest = labelled(rest, comp).where("cx <> cy")
+        hot = hot.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    else:
+        hot = hot.withColumn("comp", F.col("id"))
+    bucket = Window.partitionBy("sig")
+    hot = hot.withColumn("lo", F.min("comp").over(bucket)).withColumn("hi", F.max("comp").over(bucket)).where("lo <> hi").select("sig", "id")
+    if threshold > 1:
+        # an id that shares fewer signatures than that, with anyone at all, has no partner among them
+        lone = found.where("n > 0").select(F.col("x").alias("id"), "n").union(found.where("n > 0").select(F.col("y").alias("id"), "n")).groupBy("id").agg(F.sum("n").alias("n"))
+        own = hot.groupBy("id").agg(F.sum(F.when(F.col("sig") % 2 != 0, threshold).otherwise(1)).alias("h"))
+        able = own.join(lone, "id", "left").where(F.col("h") + F.coalesce("n", F.lit(0)) >= threshold).select("id")
+        hot = hot.join(able, "id", "left_semi")
+    hot = hot.withColumn("b", F.min("id").over(bucket)).select(F.col("id").alias("a"), "b")
+    open_links = scratch.save(rest.select(F.col("x").alias("a"), F.col("y").alias("b")).union(hot).where("a <> b").distinct(), "open")
+    scratch.drop(found)
+    scratch.release(open_links.sparkSession)
+    if open_links.take(1):
+        linked(across(open_links, comp, prepare, as_sets, num, den))
     return comp

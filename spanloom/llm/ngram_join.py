@@ -20,6 +20,10 @@ Two refinements keep this exact and cheaper:
   least in hash order, of which similar sets always share one.
 * ``SHARED - 1`` further partitions make similar sets agree on ``SHARED`` signatures
   at least (or on one of two prefixes), and pairs that share fewer are left out.
+* Features that many documents of a sample hold are left out of the domain and
+  come last in the order of prefixes.  Sets that differ in at most d features do
+  so in any part of the domain, so nothing is lost whatever is left out; what is
+  gained is that passages shared by many documents make no signature common.
 
 Edge cases: a document that is null, empty or without words has n_shingles 0
 and links with nothing; one with fewer words than n is a single n-gram.
@@ -71,11 +75,16 @@ def set_digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def signatures(
-    features: np.ndarray, per: np.ndarray, ids: np.ndarray, num: int = NUM, den: int = DEN, n2: int = 1, k2: int = 0
+    features: np.ndarray, per: np.ndarray, ids: np.ndarray, num: int = NUM, den: int = DEN, n2: int = 1, k2: int = 0, common: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
     """PartEnum signatures (sig, id) of the sets in ``features``, cut by ``per``; those of prefixes are odd."""
     sizes = np.diff(per)
     keep_sig, keep_id = [], []
+    usual = np.zeros(len(features), bool)
+    if common is not None and len(common) and len(features):
+        place = np.searchsorted(common, features)
+        place[place == len(common)] = 0
+        usual = common[place] == features
     level = 1_000_003 * n2 + k2
     mixed = mix(features + np.uint64(0x632BE59BD9B4E019))
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -91,7 +100,7 @@ def signatures(
         for edges in passes:
             for edge in np.unique(edges[(edges >= 0) & (sizes > 0)]):
                 chosen = (edges == edge) & (sizes > 0)
-                rows = chosen[owner]
+                rows = chosen[owner] & ~usual
                 most = 1 << int(edge)
                 # the greatest difference: both at the edge, or |a| = edge and |b| = edge * den / num
                 d = most * (den - num) // num if cross else 2 * most * (den - num) // (den + num)
@@ -130,9 +139,9 @@ def signatures(
                     keep_id.append(ids[which[doc[give]]])
                 bare = np.bincount(doc[bad], minlength=len(which)) > n_own - need - (SHARED - 1)
                 for k in np.flatnonzero(bare):
-                    own_features = features[per[which[k]] : per[which[k] + 1]]
+                    mine = slice(per[which[k]], per[which[k] + 1])
                     n = sizes[which[k]]
-                    prefix = own_features[: n - (n * num + den - 1) // den + 1]
+                    prefix = features[mine][np.argsort(usual[mine], kind="stable")][: n - (n * num + den - 1) // den + 1]
                     keep_sig.append(mix(prefix ^ np.uint64(0xA0761D6478BD642F + int(edge) * 2 + cross)) | np.uint64(1))
                     keep_id.append(np.full(len(prefix), ids[which[k]]))
     if not keep_sig:
@@ -145,16 +154,32 @@ def _spare(need):
     return 3 + need // 16
 
 
-def _signature_rows(docs: DataFrame, width: int, num: int, den: int, n2: int, k2: int) -> DataFrame:
+def _signature_rows(docs: DataFrame, width: int, num: int, den: int, n2: int, k2: int, common: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, features, per in _sets(batch, 0, width):
-                sig, ids = signatures(features, per, _digest(features, per), num, den, n2, k2)
+                sig, ids = signatures(features, per, _digest(features, per), num, den, n2, k2, common)
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ids)], names=["sig", "id"])
 
     return docs.select("text").mapInArrow(run, "sig long, id long")
 
 
+def common_features(docs: DataFrame, count: int, width: int, sample: int = 4_000, share: float = 0.004) -> np.ndarray:
+    """Features of at least ``share`` of about ``sample`` of ``count`` documents, ascending.
+
+    At most 1 / share of the sample's mean set size; they only make the join faster.
+    """
+    some = docs if count <= sample else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * sample // count)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, features, _ in _sets(batch, 0, width):
+                yield pa.RecordBatch.from_arrays([pa.array(signed(features))], names=["f"])
+
+    counts = some.select("text").mapInArrow(run, "f long").groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= max(12, int(share * sample)))
+    return np.sort(np.array([r["f"] for r in counts.select("f").collect()], np.int64).view(np.uint64))
+
+
 def _packed(features: np.ndarray) -> bytes:
     """The upper 40 bits of each hash, in five bytes."""
     top = features >> np.uint64(24)
@@ -194,7 +219,7 @@ def verifier(num: int, den: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
     return verify
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, small: int = 16) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, small: int = 16, n2: int = 1, k2: int = 0) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``.
 
     component_id: the least doc_id reachable over links of Jaccard similarity
@@ -205,15 +230,6 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
     classes = scratch.save(set_digests(docs, width), "sets")
     least = classes.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
 
-    def level(n2: int, k2: int) -> Callable[[DataFrame | None], DataFrame]:
-        def rows(ids: DataFrame | None) -> DataFrame:
-            some = docs
-            if ids is not None:
-                some = docs.join(least.join(ids.withColumnRenamed("id", "set_id"), "set_id").select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
-            return _signature_rows(some, width, num, den, n2, k2)
-
-        return rows
-
     def prepare(ids: DataFrame) -> DataFrame:
         wanted = least.join(ids.withColumnRenamed("id", "set_id"), "set_id").select(F.col("least").alias("doc_id"))
 
@@ -228,7 +244,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
     def as_sets(a: list, b: list) -> tuple[list, list]:
         return [_unpacked(x) for x in a], [_unpacked(x) for x in b]
 
-    comp = linking.link([level(1, 0), level(5, 2)], prepare, verifier(num, den), as_sets, num, den, small, SHARED)
+    sigs = _signature_rows(docs, width, num, den, n2, k2, common_features(docs, classes.count(), width))
+    comp = linking.link(sigs, prepare, verifier(num, den), as_sets, num, den, small, SHARED)
     if comp is None:
         comp = docs.sparkSession.createDataFrame([], "id long, comp long")
     named = comp.join(least, F.col("id") == F.col("set_id")).groupBy("comp").agg(F.min("least").alias("first"))
