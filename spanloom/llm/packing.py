@@ -22,9 +22,11 @@ that repeat a doc_id are packed as separate documents.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,43 +35,64 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-LENGTH, END, CACHE = 2048, 0, 400_000
+LENGTH, END, CACHE = 2048, 0, 500_000
+_MARKS, _ENDS = b".,!?;:%$#&*|", frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 class WordTokenizer:
-    """Ids of texts by a vocabulary that never joins words across white space.
+    """Ids of texts by a vocabulary that is blind to case and never joins words across white space.
 
-    Words are encoded once and remembered, up to ``CACHE`` of them.
+    Words are encoded once and remembered, up to ``cache`` of them; a full memory keeps
+    the words in use.  A word that ends in plain punctuation behind a letter or digit
+    is its stem and that punctuation, which the vocabulary never joins either.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.cache = Tokenizer.from_file(path), {}, cache
 
+    def _learn(self, words: list[bytes]) -> None:
+        for lo in range(0, len(words), 5_000):
+            part = words[lo : lo + 5_000]
+            for word, code in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.known[word] = np.array(code.ids, "<u4").tobytes()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text, without special tokens."""
+        split = [t.lower().split() for t in texts]  # A-Z only; at 0x20, 0x09-0x0d
+        words = set().union(*split)
+        new = words - self.known.keys()
+        if len(self.known) + len(new) > self.cache:
+            self.known = {w: self.known[w] for w in words - new}
+        parts = {}
+        for word in new:
+            stem = word.rstrip(_MARKS)
+            if stem and len(stem) < len(word) and stem[-1] in _ENDS and b"<|" not in word:
+                parts[word] = stem, word[len(stem) :]
+        whole = new - parts.keys()
+        self._learn(list((whole | {p for pair in parts.values() for p in pair}) - self.known.keys()))
         known = self.known
-        split = [t.split() for t in texts]  # at 0x20, 0x09-0x0d
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > self.cache:
-            known.clear()
-            new = list({w for words in split for w in words})
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for word, code in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[word] = np.array(code.ids, "<u4").tobytes()
+        for word, (stem, marks) in parts.items():
+            known[word] = known[stem] + known[marks]
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+@cache
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One for each Python worker, which serves many tasks."""
+    return WordTokenizer(path)
+
+
 def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, nth): part and nth, the task and the
     piece's number among those of its length there, make its rank."""
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = tokenizer_of(path)
         seen = np.zeros(length + 1, np.int64)
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
