@@ -222,7 +222,7 @@ def predict(docs: DataFrame, model: Network | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = texthash.as_bytes(batch.column(1))
-            for lo, hi in texthash.chunks(offsets):
+            for lo, hi in texthash.chunks(offsets, 4 << 20):  # more windows repeat in a longer chunk
                 ids = batch.column(0).slice(lo, hi - lo)
                 texts = batch.column(1).slice(lo, hi - lo)
                 lettered = np.array([t is not None and _LETTER.search(t) is not None for t in (s.as_py() for s in texts)], bool)

@@ -59,16 +59,24 @@ def _prefix(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def minhashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, bins: int) -> np.ndarray:
-    """One-permutation MinHash (lines x bins) of the lines' character shingles."""
+    """One-permutation MinHash (lines x bins) of the character shingles of lines in ascending order."""
     sums, inverse = _prefix(part)
     chars = np.append(np.flatnonzero((part & 0xC0) != 0x80), len(part))
     lo, hi = np.searchsorted(chars, starts), np.searchsorted(chars, ends)
-    many = np.maximum(hi - lo - size + 1, 1)
-    line = np.repeat(np.arange(len(starts)), many)
-    at = np.arange(len(line)) - np.repeat(np.cumsum(many) - many, many) + lo[line]
-    begin = chars[at]
-    end = np.minimum(chars[np.minimum(at + size, len(chars) - 1)], ends[line])
-    grams = mix((sums[end] - sums[begin]) * inverse[begin])
+    # the shingle that begins at each character, and the line that this is in
+    line = np.zeros(len(chars), np.int32)
+    line[lo] = 1
+    line = np.cumsum(line, dtype=np.int32) - 1
+    whole = np.maximum(len(chars) - size, 0)
+    inside = np.zeros(whole, bool)
+    inside[:] = np.arange(whole) <= (hi - size)[line[:whole]]
+    inside &= line[:whole] >= 0
+    begin = chars[:whole][inside]
+    grams = mix((sums[chars[size:][inside]] - sums[begin]) * inverse[begin])
+    line = line[:whole][inside]
+    short = np.flatnonzero(hi - lo < size)  # a shorter line is one shingle
+    grams = np.concatenate([grams, mix((sums[ends[short]] - sums[starts[short]]) * inverse[starts[short]])])
+    line = np.concatenate([line, short])
     slot = (grams >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)
     value = grams & np.uint64(0xFFFFFFFF)
     none = np.uint64(1 << 40)
@@ -108,7 +116,9 @@ def _distinct_lines(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndar
         part = data[int(offsets[lo]) : int(offsets[hi])]
         _, _, starts, ends = split_lines(data, offsets[lo : hi + 1])
         ids, at = np.unique(texthash.span_hashes(part, starts, ends), return_index=True)
-        yield part, ids, starts[at], ends[at]
+        at = np.sort(at)
+        starts, ends = starts[at], ends[at]
+        yield part, texthash.span_hashes(part, starts, ends), starts, ends
 
 
 def _bands(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20  # temporaries of a few times 8 MB stay in the caches
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
