@@ -54,8 +54,8 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(words))
 
 
-def scan(page: str) -> Iterator[tuple[str | None, tuple, bool]]:
-    """The page as (text, open elements' names, False) and (None, names, whether it breaks a block)."""
+def scan(page: str) -> Iterator[tuple[str | None, tuple, bool | None]]:
+    """The page as (text, open elements' names, False) and (None, names, whether it breaks a block; None: a line only)."""
     stack: list[tuple[str, tuple[str, ...]]] = []
     chain: tuple = ()
     at = 0
@@ -91,7 +91,7 @@ def scan(page: str) -> Iterator[tuple[str | None, tuple, bool]]:
             if not m[4].rstrip().endswith("/") or tag not in _VOID:
                 stack.append((tag, _names(tag, m[4]) if m[4] else (tag,)))
         chain = tuple(names for _, names in stack)
-        yield None, chain, tag not in _INLINE
+        yield None, chain, None if tag == "br" else tag not in _INLINE
     if at < len(page):
         yield page[at:], chain, False
 
@@ -117,6 +117,8 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
         if text is None:
             if breaks:
                 close()
+            elif breaks is None:
+                texts.append(" ")
             sequence.append((TAG_COST, -1))
             continue
         s = scores.get(chain)
