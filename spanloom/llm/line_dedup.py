@@ -179,7 +179,7 @@ def line_components(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, ro
     lines = scratch.save(_line_table(docs), "lines")
 
     def prepare(ids: DataFrame) -> DataFrame:
-        return _texts(docs).join(ids, "id", "left_semi").groupBy("id").agg(F.min("bytes").alias("bytes"))
+        return _texts(docs).join(linking.sized(scratch.save(ids, "ids")), "id", "left_semi").groupBy("id").agg(F.min("bytes").alias("bytes"))
 
     def as_sets(a: list, b: list) -> tuple[list, list]:
         index: dict[str, int] = {}

@@ -169,9 +169,10 @@ def labelled(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return joined.withColumn("cx", F.coalesce("cx", "x")).withColumn("cy", F.coalesce("cy", "y"))
 
 
-def _checked(pairs: DataFrame, most: int = 50_000) -> DataFrame:
-    """``pairs`` with a broadcast hint if it has been counted to be small (at most 16 bytes a row)."""
-    return F.broadcast(pairs) if pairs.limit(most + 1).count() <= most else pairs
+def sized(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A saved table of a few numbers a row, with a broadcast hint if it has been counted to be
+    at most ``most`` rows; beyond that, Spark shuffles both sides."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def similar(sets_a: list[np.ndarray], sets_b: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -209,7 +210,7 @@ def across(links: DataFrame, comp: DataFrame | None, prepare: Callable[[DataFram
     dealt = scratch.save(members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "dealt")
     prepared = prepare(dealt.select("id"))
     column = [c for c in prepared.columns if c != "id"][0]
-    blocks = dealt.join(prepared, "id").groupBy("grp", "block").agg(F.collect_list(F.struct("id", "comp", F.col(column).alias("content"))).alias("rows"))
+    blocks = prepared.join(sized(dealt), "id").groupBy("grp", "block").agg(F.collect_list(F.struct("id", "comp", F.col(column).alias("content"))).alias("rows"))
     blocks = scratch.save(blocks, "blocks")
     scratch.release(blocks.sparkSession)
     here = blocks.select("grp", "block")
@@ -269,7 +270,7 @@ def link(
     if first.take(1):
         prepared = scratch.save(prepare(first.select(F.col("x").alias("id")).union(first.select(F.col("y").alias("id"))).distinct()), "prepared")
         scratch.release(found.sparkSession)
-        linked(verify(_checked(first), prepared).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        linked(verify(sized(first), prepared).select(F.col("x").alias("a"), F.col("y").alias("b")))
         scratch.drop(prepared)
     # then what is left between components: other pairs, and members of large buckets
     rest = pairs.select("x", "y").join(first, ["x", "y"], "left_anti")

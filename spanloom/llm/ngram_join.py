@@ -231,7 +231,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
     least = classes.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
 
     def prepare(ids: DataFrame) -> DataFrame:
-        wanted = least.join(ids.withColumnRenamed("id", "set_id"), "set_id").select(F.col("least").alias("doc_id"))
+        wanted = linking.sized(scratch.save(least.join(ids.withColumnRenamed("id", "set_id"), "set_id").select(F.col("least").alias("doc_id")), "wanted"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
