@@ -115,20 +115,6 @@ def interval_join(a: np.ndarray, b: np.ndarray, lead_a: np.ndarray, lead_b: np.n
             stack += [(i, m, j, half), (i, m, half, n)]
 
 
-def local_components(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
-    """Least vertex reachable, for vertices 0..n-1 and edges (p, q)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[p], label[q])
-        new = label.copy()
-        np.minimum.at(new, p, low)
-        np.minimum.at(new, q, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def embedding_components(embeddings: DataFrame, cosine: float = 0.98, lead: int = LEAD, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``embeddings``."""
     spark = embeddings.sparkSession
@@ -211,7 +197,7 @@ def embedding_components(embeddings: DataFrame, cosine: float = 0.98, lead: int
                     if len(p):
                         # merged with what earlier leaves have linked
                         every = np.arange(len(ids))
-                        label = local_components(np.concatenate([p, every]), np.concatenate([q + shift, label]), len(ids))
+                        label = linking.least_reachable(np.concatenate([p, every]), np.concatenate([q + shift, label]), len(ids))
                 some = np.flatnonzero(links > 0)
                 if len(some):
                     least = ids.copy()

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-BLOCK, WIDTH = 400, 8192
+BLOCK, WIDTH = 1500, 4096
 
 _OUT = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("n", pa.int32())])
 
@@ -193,12 +193,26 @@ def similar(sets_a: list[np.ndarray], sets_b: list[np.ndarray], num: int, den: i
     return (both > 0) & (den * both >= num * (size_a[:, None] + size_b[None, :] - both))
 
 
+def least_reachable(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+    """The least vertex reachable from each of 0..n-1 over edges (p, q)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[p], label[q])
+        new = label.copy()
+        np.minimum.at(new, p, low)
+        np.minimum.at(new, q, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def across(links: DataFrame, comp: DataFrame | None, prepare: Callable[[DataFrame], DataFrame], as_sets: Callable[[list, list], tuple[list, list]], num: int, den: int) -> DataFrame:
     """Links (a, b) between different components, among ids that candidate links connect.
 
     ``links``: (a, b).  What they connect forms groups; a group is dealt into blocks of
-    about ``BLOCK`` ids by hash, and each pair of its blocks is one row of work, which
-    returns one link for an id and another component.
+    about ``BLOCK`` ids by hash, and each pair of its blocks is one row of work (a block
+    with itself is sent once), which returns the links of a forest over components.
     """
     groups = components(links).withColumnRenamed("comp", "grp")
     if comp is not None:
@@ -215,19 +229,22 @@ def across(links: DataFrame, comp: DataFrame | None, prepare: Callable[[DataFram
     scratch.release(blocks.sparkSession)
     here = blocks.select("grp", "block")
     first, second = here.select("grp", F.col("block").alias("i")), here.select("grp", F.col("block").alias("j"))
-    work = first.join(second, "grp").where("i <= j")
-    work = work.join(blocks.select("grp", F.col("block").alias("i"), F.col("rows").alias("p")), ["grp", "i"]).join(blocks.select("grp", F.col("block").alias("j"), F.col("rows").alias("q")), ["grp", "j"])
+    work = first.join(second, "grp").where("i <= j").select("grp", "i", F.when(F.col("i") < F.col("j"), F.col("j")).alias("j"))
+    work = work.join(blocks.select("grp", F.col("block").alias("i"), F.col("rows").alias("p")), ["grp", "i"]).join(blocks.select("grp", F.col("block").alias("j"), F.col("rows").alias("q")), ["grp", "j"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, q in zip(batch.column(0), batch.column(1), strict=True):
-                p, q = p.as_py(), q.as_py()
+                p = p.as_py()
+                q = q.as_py() or p
                 comp_p, comp_q = np.array([r["comp"] for r in p]), np.array([r["comp"] for r in q])
                 near = similar(*as_sets([r["content"] for r in p], [r["content"] for r in q]), num, den) & (comp_p[:, None] != comp_q[None, :])
                 x, y = np.nonzero(near)
                 if len(x):
-                    _, one = np.unique(np.stack([x, comp_q[y]], axis=1), axis=0, return_index=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([p[k]["id"] for k in x[one]], pa.int64()), pa.array([q[k]["id"] for k in y[one]], pa.int64())], names=["a", "b"])
+                    nodes, at = np.unique(np.concatenate([comp_p[x], comp_q[y]]), return_inverse=True)
+                    root = least_reachable(at[: len(x)], at[len(x) :], len(nodes))
+                    child = np.flatnonzero(root != np.arange(len(nodes)))
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[root[child]])], names=["a", "b"])
 
     return work.select("p", "q").mapInArrow(run, "a long, b long")
 
