@@ -27,6 +27,7 @@ from . import linking, scratch, texthash
 from .texthash import SPACE, mix, signed
 
 SHINGLE, BANDS, ROWS, NUM, DEN = 8, 12, 5, 80, 100
+PIECE, MEMORY = 1 << 17, 1 << 18  # bytes handled at once, so that temporaries stay in the caches; lines remembered
 
 
 def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -109,36 +110,55 @@ def _line_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line int, line_id long")
 
 
-def _distinct_lines(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, ids, starts, ends) of the distinct lines of each chunk."""
-    data, offsets = texthash.as_bytes(batch.column(0))
-    for lo, hi in texthash.chunks(offsets):
-        part = data[int(offsets[lo]) : int(offsets[hi])]
-        _, _, starts, ends = split_lines(data, offsets[lo : hi + 1])
-        ids, at = np.unique(texthash.span_hashes(part, starts, ends), return_index=True)
-        at = np.sort(at)
-        starts, ends = starts[at], ends[at]
-        yield part, texthash.span_hashes(part, starts, ends), starts, ends
+def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, ids, starts, ends) of the distinct lines of pieces of ``PIECE`` bytes or one line.
+
+    A table of fixed size remembers lines of the same task, so that most repeats are left out;
+    the others do no harm.
+    """
+    known = np.zeros(MEMORY, np.uint64)
+    known[0] = 1  # not a hash of that slot
+    for batch in batches:
+        data, offsets = texthash.as_bytes(batch.column(0))
+        for lo, hi in texthash.chunks(offsets):
+            part = data[int(offsets[lo]) : int(offsets[hi])]
+            _, _, starts, ends = split_lines(data, offsets[lo : hi + 1])
+            spans = texthash.span_hashes(part, starts, ends)
+            _, at = np.unique(spans, return_index=True)
+            at = np.sort(at)
+            slot = (spans[at] % np.uint64(MEMORY)).astype(np.int64)
+            fresh = known[slot] != spans[at]
+            known[slot] = spans[at]
+            at = at[fresh]
+            ids, starts, ends = spans[at], starts[at], ends[at]
+            cuts = np.flatnonzero(np.diff(starts // PIECE)) + 1
+            for a, b in zip(np.append(0, cuts), np.append(cuts, len(at)), strict=True):
+                if a < b:
+                    first = starts[a]
+                    yield part[first : ends[b - 1]], ids[a:b], starts[a:b] - first, ends[a:b] - first
 
 
 def _bands(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = texthash._MULTS[:rows]
-        for batch in batches:
-            for part, ids, starts, ends in _distinct_lines(batch):
-                table = minhashes(part, starts, ends, size, bands * rows).reshape(len(ids), bands, rows)
-                sig = mix((mix(table) * odd).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(sig.ravel())), pa.array(signed(np.repeat(ids, bands)))], names=["sig", "id"])
+        for part, ids, starts, ends in _distinct_lines(batches):
+            table = minhashes(part, starts, ends, size, bands * rows).reshape(len(ids), bands, rows)
+            sig = mix((mix(table) * odd).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(sig.ravel())), pa.array(signed(np.repeat(ids, bands)))], names=["sig", "id"])
 
     return docs.select("text").mapInArrow(run, "sig long, id long")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, ids, starts, ends in _distinct_lines(batch):
-                raw = part.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(signed(ids)), pa.array([raw[a:b] for a, b in zip(starts, ends, strict=True)], pa.binary())], names=["id", "bytes"])
+        for part, ids, starts, ends in _distinct_lines(batches):
+            edges = np.zeros(len(part) + 1, np.int8)
+            edges[starts] += 1
+            edges[ends] -= 1
+            inside = part[np.cumsum(edges[:-1], dtype=np.int8) > 0]
+            offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+            lines = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(inside.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(ids)), lines.cast(pa.binary())], names=["id", "bytes"])
 
     return docs.select("text").mapInArrow(run, "id long, bytes binary")
 
