@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ from . import linking, scratch, texthash
 from .texthash import SPACE, mix, signed
 
 SHINGLE, BANDS, ROWS, NUM, DEN = 8, 12, 5, 80, 100
+OWNER = np.uint64(44)
 PIECE, MEMORY = 1 << 17, 1 << 18  # bytes handled at once, so that temporaries stay in the caches; lines remembered
 
 
@@ -59,25 +61,37 @@ def _prefix(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, inverse
 
 
-def minhashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, bins: int) -> np.ndarray:
-    """One-permutation MinHash (lines x bins) of the character shingles of lines in ascending order."""
+def grams_of(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, line) of the character shingles of lines in ascending order; a shorter line is one shingle."""
     sums, inverse = _prefix(part)
     chars = np.append(np.flatnonzero((part & 0xC0) != 0x80), len(part))
     lo, hi = np.searchsorted(chars, starts), np.searchsorted(chars, ends)
-    # the shingle that begins at each character, and the line that this is in
-    line = np.zeros(len(chars), np.int32)
-    line[lo] = 1
-    line = np.cumsum(line, dtype=np.int32) - 1
-    whole = np.maximum(len(chars) - size, 0)
-    inside = np.zeros(whole, bool)
-    inside[:] = np.arange(whole) <= (hi - size)[line[:whole]]
-    inside &= line[:whole] >= 0
-    begin = chars[:whole][inside]
-    grams = mix((sums[chars[size:][inside]] - sums[begin]) * inverse[begin])
-    line = line[:whole][inside]
-    short = np.flatnonzero(hi - lo < size)  # a shorter line is one shingle
-    grams = np.concatenate([grams, mix((sums[ends[short]] - sums[starts[short]]) * inverse[starts[short]])])
-    line = np.concatenate([line, short])
+    count = np.maximum(hi - lo - size + 1, 0)
+    line = np.repeat(np.arange(len(starts)), count)
+    at = np.arange(len(line)) + np.repeat(lo - (np.cumsum(count) - count), count)
+    begin = chars[at]
+    grams = mix((sums[chars[at + size]] - sums[begin]) * inverse[begin])
+    short = np.flatnonzero(hi - lo < size)
+    if len(short):
+        grams = np.concatenate([grams, mix((sums[ends[short]] - sums[starts[short]]) * inverse[starts[short]])])
+        line = np.concatenate([line, short])
+    return grams, line
+
+
+def shingle_keys(lines: pa.Array, size: int) -> np.ndarray:
+    """Ascending distinct keys of the shingles of up to 2**20 lines: the line's number above 44 bits of hash."""
+    lines = lines.cast(pa.large_binary())
+    offsets = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + len(lines) + 1]
+    data = lines.buffers()[2]
+    part = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    grams, line = grams_of(part, offsets[:-1] - offsets[0], offsets[1:] - offsets[0], size)
+    keys = np.sort(line.astype(np.uint64) << OWNER | grams >> np.uint64(20))
+    return keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
+
+
+def minhashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, bins: int) -> np.ndarray:
+    """One-permutation MinHash (lines x bins) of the character shingles of lines in ascending order."""
+    grams, line = grams_of(part, starts, ends, size)
     slot = (grams >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)
     value = grams & np.uint64(0xFFFFFFFF)
     none = np.uint64(1 << 40)
@@ -171,16 +185,18 @@ def shingle_set(line: bytes, size: int) -> set[str]:
 def _verifier(size: int, num: int, den: int):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, a = [], None, set()
-            for i, (x, bx, by) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
-                if x != last:
-                    last, a = x, shingle_set(bx, size)
-                b = shingle_set(by, size)
-                both = len(a & b)
-                if den * both >= num * (len(a) + len(b) - both):
-                    keep.append(i)
-            if keep:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["x", "y"])
+            bytes_x, bytes_y = (pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3))
+            piece = np.cumsum(bytes_x + bytes_y) // PIECE
+            cuts = np.flatnonzero(np.diff(piece)) + 1
+            for lo, hi in zip(np.append(0, cuts), np.append(cuts, batch.num_rows), strict=True):
+                if lo == hi:
+                    continue
+                a, b = (shingle_keys(batch.column(c).slice(lo, hi - lo), size) for c in (2, 3))
+                every = np.sort(np.concatenate([a, b]))
+                both, of_a, of_b = (np.bincount((k >> OWNER).astype(np.int64), minlength=hi - lo) for k in (every[1:][every[1:] == every[:-1]], a, b))
+                keep = pa.array(lo + np.flatnonzero(den * both >= num * (of_a + of_b - both)))
+                if len(keep):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["x", "y"])
 
     def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         bx = texts.select(F.col("id").alias("x"), F.col("bytes").alias("bx"))
@@ -202,8 +218,15 @@ def line_components(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, ro
         return _texts(docs).join(linking.sized(scratch.save(ids, "ids")), "id", "left_semi").groupBy("id").agg(F.min("bytes").alias("bytes"))
 
     def as_sets(a: list, b: list) -> tuple[list, list]:
-        index: dict[str, int] = {}
-        return tuple([np.array([index.setdefault(s, len(index)) for s in shingle_set(x, size)]) for x in part] for part in (a, b))
+        def sets(rows: list) -> list:
+            piece, out = np.cumsum([len(r) for r in rows]) // PIECE, []
+            cuts = np.flatnonzero(np.diff(piece)) + 1
+            for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(rows)), strict=True):
+                keys = shingle_keys(pa.array(rows[lo:hi], pa.binary()), size)
+                out += np.split(keys & np.uint64((1 << 44) - 1), np.searchsorted(keys >> OWNER, np.arange(1, hi - lo).astype(np.uint64)))
+            return out
+
+        return sets(a), sets(b)
 
     comp = linking.link(_bands(docs, size, bands, rows), prepare, _verifier(size, num, den), as_sets, num, den)
     firsts = lines.groupBy("line_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")).alias("first"))

@@ -266,17 +266,21 @@ def link(
     ``verify(pairs, prepared)`` joins and ``as_sets`` makes sets of numbers of, for two
     blocks at a time.  Returns None if there is no link.
     """
-    edges: DataFrame | None = None
     comp: DataFrame | None = None
 
     def linked(new: DataFrame) -> None:
-        """Adds verified links (a, b) to ``edges`` and ``comp``."""
-        nonlocal edges, comp
+        """Adds links (a, b) to ``comp``; a and b are components as far as there are any."""
+        nonlocal comp
         new = scratch.save(new, "edges")
         scratch.release(new.sparkSession)
         if new.take(1):
-            edges = new if edges is None else edges.union(new)
-            comp = scratch.save(components(edges), "components")
+            more = components(new)
+            if comp is not None:  # components of components, and of ids that had none
+                more = scratch.save(more, "merged")
+                up = more.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
+                known = comp.join(up, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
+                more = known.union(more.join(comp.select("id"), "id", "left_anti").select("id", "comp"))
+            comp = scratch.save(more, "components")
             scratch.release(new.sparkSession)
 
     found = scratch.save(candidates(sigs, small, threshold), "candidates")
