@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-BLOCK, WIDTH = 1500, 4096
+BLOCK, WIDTH, PART = 1500, 4096, 1 << 20
 
 _OUT = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("n", pa.int32())])
 
@@ -178,17 +178,24 @@ def sized(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
 def similar(sets_a: list[np.ndarray], sets_b: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """Which pairs (rows, columns) of two blocks of sets of distinct numbers have Jaccard >= num/den."""
     size_a, size_b = (np.array([len(x) for x in part]) for part in (sets_a, sets_b))
-    values, at, often = np.unique(np.concatenate([*sets_a, *sets_b]), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(size_a) + len(size_b)), np.concatenate([size_a, size_b]))
-    shared = often[at] > 1
-    column = np.cumsum(often > 1) - 1
-    owner, column, width = owner[shared], column[at[shared]], int((often > 1).sum())
+    total, rows = int(size_a.sum() + size_b.sum()), len(size_a) + len(size_b)
+    every = np.concatenate([*sets_a, *sets_b])
+    owners = np.repeat(np.arange(rows, dtype=np.int32), np.concatenate([size_a, size_b]))
     both = np.zeros((len(size_a), len(size_b)), np.float32)
-    for lo in range(0, width, WIDTH):
-        here = (column >= lo) & (column < lo + WIDTH)
-        marks = np.zeros((len(size_a) + len(size_b), min(WIDTH, width - lo)), np.float32)
-        marks[owner[here], column[here] - lo] = 1
-        both += marks[: len(size_a)] @ marks[len(size_a) :].T
+    # by residue, so that the sort's temporaries are those of a part of all numbers
+    parts = -(-total // PART)
+    residue = ((every >> np.uint64(24)) % np.uint64(parts)).astype(np.int32) if parts > 1 else None
+    for r in range(parts):
+        mine = slice(None) if residue is None else residue == r
+        _, at, often = np.unique(every[mine], return_inverse=True, return_counts=True)
+        shared = often[at] > 1
+        column = np.cumsum(often > 1) - 1
+        owner, column, width = owners[mine][shared], column[at[shared]], int((often > 1).sum())
+        for lo in range(0, width, WIDTH):
+            here = (column >= lo) & (column < lo + WIDTH)
+            marks = np.zeros((rows, min(WIDTH, width - lo)), np.float32)
+            marks[owner[here], column[here] - lo] = 1
+            both += marks[: len(size_a)] @ marks[len(size_a) :].T
     both = np.rint(both).astype(np.int64)
     return (both > 0) & (den * both >= num * (size_a[:, None] + size_b[None, :] - both))
 
@@ -246,7 +253,14 @@ def across(links: DataFrame, comp: DataFrame | None, prepare: Callable[[DataFram
                     child = np.flatnonzero(root != np.arange(len(nodes)))
                     yield pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[root[child]])], names=["a", "b"])
 
-    return work.select("p", "q").mapInArrow(run, "a long, b long")
+    # a row is two blocks, so an Arrow batch is to hold few
+    conf, key = blocks.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = conf.get(key)
+    conf.set(key, "2")
+    try:
+        return scratch.save(work.select("p", "q").mapInArrow(run, "a long, b long"), "across")
+    finally:
+        conf.set(key, usual)
 
 
 def link(
