@@ -380,6 +380,17 @@ def token_display(spark, sf_dir):
     return rows.select("text_id", "s_no", "i", T.token_form(shown).alias("form"), F.try_element_at(read, F.lit("lemma")).alias("lemma"), F.try_element_at(read, F.lit("pos")).alias("pos"))
 
 
+@query(TOK + "SELECT text_id, s_no, i, word AS form, lemma, CASE WHEN pos <> 'WORD' THEN pos END AS pos FROM att")
+def token_display_all(spark, sf_dir):
+    """:func:`token_display` of all tokens of all lines; slashes and per cent signs of the form are escaped while it is shown."""
+    rows = C.tokens(_sentences(spark, sf_dir, "lemma", "pos"), ("word", "lemma", "pos"))
+    escaped = F.replace(F.replace("word", F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F"))
+    shown = F.concat_ws("/", escaped, "lemma", F.when(F.col("pos") == "WORD", "__UNDEF__").otherwise(F.col("pos")))
+    read = T.token_attributes(shown, ["lemma", "pos"])
+    form = F.replace(F.replace(T.token_form(shown), F.lit("%2F"), F.lit("/")), F.lit("%25"), F.lit("%"))
+    return rows.select("text_id", "s_no", "i", form.alias("form"), F.try_element_at(read, F.lit("lemma")).alias("lemma"), F.try_element_at(read, F.lit("pos")).alias("pos"))
+
+
 @query(SPEECH + "SELECT line_key, sha256('RUN@' || line_key || '@' || seg || '@' || (seg + 1)) AS key FROM seg")
 def sha_key(spark, sf_dir):
     return _speech(spark, sf_dir).select("line_key", T.clip_key(F.lit("RUN"), F.col("line_key"), F.col("from"), F.col("to")).alias("key"))
