@@ -244,3 +244,25 @@ def test_pipeline(spark, data):
 
     out = corpus_pipeline.run(spark, data).toPandas()
     assert len(out) and out.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_ngram_stage_keeps_by_row(spark):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    text = [" ".join(word() for _ in range(60)) for _ in range(7)]
+    near = [t + " end" for t in text]
+    table = [
+        (1, text[0]), (2, near[0]),  # near copies: the least doc_id stays
+        (3, text[1]), (3, text[2]), (4, near[2]),  # a repeated doc_id with different texts
+        (0, text[3]), (5, near[3]), (5, text[4]),  # one text of doc_id 5 is a near copy, the other is not
+        (None, text[5]), (None, near[5]), (None, text[6]), (None, near[0]),  # null ids
+        (6, text[6] + " z"), (7, None), (7, ""), (None, None), (8, text[1]), (8, text[1]),
+    ]
+    docs = scratch.save(spark.createDataFrame(table, "doc_id long, text string").repartition(3))
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.ngram_stage(spark, docs, "").collect()]
+    either = [(None, text[5]), (None, near[5])]
+    assert sum(got.count(x) for x in either) == 1
+    expected = [table[k] for k in (0, 2, 3, 5, 7, 12, 13, 14, 15)]
+    assert sorted((x for x in got if x not in either), key=str) == sorted(expected, key=str)
