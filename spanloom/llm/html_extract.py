@@ -5,8 +5,11 @@ being content, learned by logistic regression from labelled pages: a weight for
 each element name and each word of its class, id or role attribute, summed over
 the elements that are open.  Positive words score up to 1, words that look like
 boilerplate slightly below 0, tags negative.  A linear scan finds the contiguous
-region with the greatest sum; of its blocks those with a positive mean are the
-text.  The labelled pages are made by :func:`labelled_pages`: layouts with
+region with the greatest sum; its blocks with a positive mean are the text, and so
+are such blocks outside it that stand in the same content container, however much
+boilerplate lies between: the container of a block is the outermost element around it
+that is itself learned as content, else the innermost of ``_HOLDERS`` around it.  The
+labelled pages are made by :func:`labelled_pages`: layouts with
 articles, menus, notices, adverts, forms and comments in varying mark-up.
 
 Block text: character references decoded, white space as single blanks, trimmed;
@@ -44,6 +47,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SAME = frozenset("li dt dd tr td th option p".split())
+_HOLDERS = frozenset("html body main article section div".split())
 
 
 def _names(tag: str, attributes: str) -> tuple[str, ...]:
@@ -96,21 +100,30 @@ def scan(page: str) -> Iterator[tuple[str | None, tuple, bool | None]]:
         yield page[at:], chain, False
 
 
+def _container(chain: tuple, weights: dict[str, float]) -> tuple | None:
+    """The content container around a block with the open elements ``chain``, by identity of its names."""
+    held = [names for names in chain if names[0] in _HOLDERS]
+    for names in held:
+        if names[0] not in ("html", "body") and sum(weights.get(name, 0.0) for name in names) > 0:
+            return names
+    return held[-1] if held else None
+
+
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """The main text of a page."""
     if not page:
         return ""
     bias = weights.get("", 0.0)
     scores: dict[tuple, float] = {}
-    blocks: list[tuple[list[str], float, int]] = []  # texts, sum of log-odds, words
+    blocks: list[tuple[list[str], float, tuple]] = []  # texts, sum of log-odds, open elements at the first word
     sequence: list[tuple[float, int]] = []  # score, block
     texts: list[str] = []
-    total, words = 0.0, 0
+    total, words, place = 0.0, 0, ()
 
     def close() -> None:
         nonlocal texts, total, words
         if words:
-            blocks.append((texts, total, words))
+            blocks.append((texts, total, place))
         texts, total, words = [], 0.0, 0
 
     for text, chain, breaks in scan(page):
@@ -127,6 +140,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
         texts.append(text)
         n = len(html.unescape(text).split())
         if n:
+            place = place if words else chain
             total, words = total + s * n, words + n
             sequence.append((n * (min(s, 1.0) if s > 0 else LOW), len(blocks)))
     close()
@@ -137,8 +151,10 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
         run += s
         if run > best:
             best, span = run, (start, k + 1)
-    chosen = sorted({b for _, b in sequence[span[0] : span[1]] if b >= 0})
-    out = [" ".join(html.unescape("".join(blocks[b][0])).split()) for b in chosen if blocks[b][1] > 0]
+    inside = {b for _, b in sequence[span[0] : span[1]] if b >= 0 and blocks[b][1] > 0}
+    containers = {id(_container(blocks[b][2], weights)) for b in inside}
+    chosen = [b for b, (_, score, chain) in enumerate(blocks) if b in inside or inside and score > 0 and id(_container(chain, weights)) in containers]
+    out = [" ".join(html.unescape("".join(blocks[b][0])).split()) for b in chosen]
     return "\n\n".join(t for t in out if t)
 
 

@@ -266,3 +266,16 @@ def test_ngram_stage_keeps_by_row(spark):
     assert sum(got.count(x) for x in either) == 1
     expected = [table[k] for k in (0, 2, 3, 5, 7, 12, 13, 14, 15)]
     assert sorted((x for x in got if x not in either), key=str) == sorted(expected, key=str)
+
+
+@pytest.mark.parametrize("holder", ["article", 'div class="content"', "main", "body"])
+def test_html_short_head_and_tail(holder):
+    links = "".join(f"<li><a href=x>word{k}</a></li>" for k in range(30))
+    between = [f'<ul class="menu">{links}</ul>', f'<div class="share">{links}</div>', f"<form>{'<label>Your name</label><input>' * 20}</form>", f'<div class="related">{links}</div>', f"<section id=comments>{'<p>Nice one</p>' * 40}</section>"]
+    body = "".join(f"<p>{'some long text of the article ' * 4}{k}</p>" for k in range(2))
+    for x in between:
+        for y in between:
+            inner = f"<h1>Two words</h1>{x}{body}{y}<p>The very end</p>"
+            page = f"<nav><a href=x>Home</a></nav><{holder}>{inner}</{holder.split()[0]}><footer><p>Imprint</p></footer>"
+            got = html_extract.extract(f"<html>{page}</html>" if holder == "body" else f"<html><body>{page}</body></html>", html_extract.learned_weights()).split("\n\n")
+            assert got[0] == "Two words" and got[-1] == "The very end" and len(got) == 4
