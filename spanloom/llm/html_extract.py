@@ -15,6 +15,9 @@ articles, menus, notices, adverts, forms and comments in varying mark-up.
 Block text: character references decoded, white space as single blanks, trimmed;
 blocks in page order, joined by two newlines.
 
+Scripts, styles, templates, titles, frames, drawings, text areas and choices are left out
+with all they hold; what noscript, object, canvas and math hold is read as any mark-up.
+
 Edge cases: null and empty html give an empty text; unclosed elements and cut
 pages are read as far as they go; without any positive word the text is empty.
 """
@@ -36,7 +39,8 @@ TAG_COST, LOW = -0.1, -0.05
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|iframe|svg|select|object|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>"
+    r"|<(script|style|template|textarea|title|iframe|svg|select)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -44,7 +48,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mover mroot mrow ms msqrt mstyle msub msubsup msup mtext munder munderover q s samp semantics small span strike strong sub sup time tt u var wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SAME = frozenset("li dt dd tr td th option p".split())
 _HOLDERS = frozenset("html body main article section div".split())
@@ -92,7 +96,7 @@ def scan(page: str) -> Iterator[tuple[str | None, tuple, bool | None]]:
                         break
                     if stack[k][0] not in _INLINE:
                         break
-            if not m[4].rstrip().endswith("/") or tag not in _VOID:
+            if tag != "math" or not m[4].endswith("/"):
                 stack.append((tag, _names(tag, m[4]) if m[4] else (tag,)))
         chain = tuple(names for _, names in stack)
         yield None, chain, None if tag == "br" else tag not in _INLINE

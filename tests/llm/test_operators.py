@@ -279,3 +279,16 @@ def test_html_short_head_and_tail(holder):
             page = f"<nav><a href=x>Home</a></nav><{holder}>{inner}</{holder.split()[0]}><footer><p>Imprint</p></footer>"
             got = html_extract.extract(f"<html>{page}</html>" if holder == "body" else f"<html><body>{page}</body></html>", html_extract.learned_weights()).split("\n\n")
             assert got[0] == "Two words" and got[-1] == "The very end" and len(got) == 4
+
+
+def test_html_raw_elements():
+    w = html_extract.learned_weights()
+    first, last = "<p>first part of the article text</p>", "<p>last part of the article text</p>"
+    read = lambda inner: html_extract.extract(f"<html><body><article>{first}{inner}{last}</article></body></html>", w).split("\n\n")
+    ends = ["first part of the article text", "last part of the article text"]
+    for inner in ("<svg/>", '<svg width="1" />', "<svg viewBox='0 0 1 1'/>", "<math/>", "<template-card></template-card>", "<select-box></select-box>", "<svg><text>no</text></svg>", '<svg a="/">no</svg>', "<select><option>no</select>", "<SCRIPT>no</script>", "<style/>no</style>"):
+        assert read(inner) == ends
+    assert html_extract.extract(f"<html><head><svg/></head><body><article>{last}</article></body></html>", w) == ends[1]
+    for name in ("noscript", "object", "canvas"):
+        assert read(f"<{name}><p>inside the element here</p></{name}>") == [ends[0], "inside the element here", ends[1]]
+    assert read("<p>let <math><mi>x</mi></math> be a number</p>")[1].split() == "let x be a number".split()
