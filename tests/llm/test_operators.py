@@ -292,3 +292,68 @@ def test_html_raw_elements():
     for name in ("noscript", "object", "canvas"):
         assert read(f"<{name}><p>inside the element here</p></{name}>") == [ends[0], "inside the element here", ends[1]]
     assert read("<p>let <math><mi>x</mi></math> be a number</p>")[1].split() == "let x be a number".split()
+
+
+def kept_rows(df):
+    return sorted((tuple(r) for r in df.select("doc_id", "text", "lang", "n_chars").collect()), key=str)
+
+
+def given(keep):
+    return sorted(((k, t, lang, n) for k, t, lang, _, n, *_ in rows() if keep(k, t)), key=str)
+
+
+def test_quality_and_benchmark_stages_by_row(docs, spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(k, k % 2) for k in range(56)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    scores = {r.text: r.score for r in quality.score(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect()}
+    assert kept_rows(corpus_pipeline.quality_stage(spark, docs, str(tmp_path))) == given(lambda k, t: scores[t] >= quality.CUT)
+    item = " ".join(rows()[1][1].split()[20:40])
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    pattern, budget = decontaminate.normal(item), int(len(decontaminate.normal(item)) * decontaminate.RATE)
+    got = kept_rows(corpus_pipeline.benchmark_stage(spark, docs, str(tmp_path)))
+    assert got == given(lambda k, t: decontaminate.myers(pattern, decontaminate.normal(t))[0] > budget) and len(got) < len(rows())
+
+
+def test_ngram_stage_on_hostile_rows(docs, spark):
+    import corpus_pipeline
+
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets = [shingles(r[1]) for r in rows()]  # rows come by doc_id, null last
+    links = [(a, b) for b in range(len(sets)) for a in range(b) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    comp = union(range(len(sets)), links)
+    first = {rows()[k][0] for k in comp if comp[k] == k}
+    assert kept_rows(corpus_pipeline.ngram_stage(spark, docs, "")) == given(lambda k, t: k in first)
+
+
+def test_line_stage_keeps_what_lines_keep(docs, spark):
+    import corpus_pipeline
+
+    keep = {(r.doc_id, r.line): r.keep for r in line_dedup.line_components(docs).collect()}
+    expected = []
+    for k, t, lang, _, n, *_ in rows():
+        lines = (t or "").split("\n")
+        left = [x for i, x in enumerate(lines) if keep.get((k, i), True)]
+        if len(left) == len(lines):
+            expected.append((k, t, lang, n))
+        elif any(x.strip(" \t\n\r\x0b\x0c") for x in left):
+            expected.append((k, "\n".join(left), lang, len("\n".join(left))))
+    assert kept_rows(corpus_pipeline.line_stage(spark, docs, "")) == sorted(expected, key=str)
+
+
+def test_packing_stage_of_long_texts(docs, spark):
+    import zlib
+
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    plain, expected = Tokenizer.from_file(queries.vocabulary()), []
+    for k, text, *_ in rows():
+        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        expected += [(k, i, lo, len(ids[lo : lo + 2048]), zlib.crc32(ids[lo : lo + 2048].tobytes())) for i, lo in enumerate(range(0, len(ids), 2048))]
+    got = [(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.packing_stage(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
