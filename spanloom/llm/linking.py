@@ -5,8 +5,9 @@ sorted rows, so that a signature held by a third of all rows costs one pass
 and constant memory.  No group is ever collected or expanded into all pairs:
 buckets of up to ``small`` members give all their pairs, larger ones a star
 around their least member plus membership rows.  What the stars have not linked is
-compared block by block, so that a member's content is sent once for each block
-of its group and not once for each partner.
+compared block by block inside the groups that shared signatures make, so that a
+member's content is sent once for each block of its group and not once for each
+partner; blocks of one component are never compared with each other.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-BLOCK, WIDTH, PART = 1500, 4096, 1 << 20
+BLOCK, BYTES, WIDTH, PART = 1024, 4 << 20, 4096, 1 << 20  # members and bytes of a block, columns and numbers handled at once
+ALONE = 250_000  # edges that one task takes
 
 _OUT = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("n", pa.int32())])
 
@@ -113,7 +115,7 @@ def candidates(sigs: DataFrame, small: int = 16, threshold: int = 1) -> DataFram
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over one partition's edges: at most one edge for each vertex is left."""
+    """Union-find over one partition's edges: (vertex, least vertex of its tree), once for each vertex."""
     parent: dict[int, int] = {}
 
     def root(v: int) -> int:
@@ -129,33 +131,45 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    rows = [(v, root(v)) for v in list(parent)]
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
+                parent.setdefault(min(a, b), min(a, b))
+    if parent:
+        yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([root(v) for v in list(parent)], pa.int64())], names=["id", "comp"])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, most: int = ALONE) -> DataFrame:
     """(id, comp) for each vertex of ``edges`` (a, b): comp is the least vertex reachable.
 
-    Union-find inside each partition first; then rounds of large star and
+    Union-find inside each partition first.  If that leaves at most ``most`` edges, which
+    is counted, one task ends it in the same way.  Else there are rounds of large star and
     small star until the edge set is a set of stars around least vertices.
+    The least neighbours are written before they are joined, so that the rows of a
+    star's centre, which many vertices share, are a plain join's that Spark can split.
+    Raises if ``rounds`` are not enough.
     """
-    edges = scratch.save(edges.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long"), "forest")
+    edges = scratch.save(edges.select("a", "b").where("a <> b").mapInArrow(_forest, "id long, comp long").where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")), "forest")
     mark = None
+    if edges.limit(most + 1).count() <= most:
+        stars = scratch.save(edges.coalesce(1).mapInArrow(_forest, "id long, comp long"), "stars")
+        scratch.drop(edges)
+        return stars
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        least = scratch.save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = both.join(sized(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        down = scratch.save(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "down")
+        scratch.drop(least)
+        least = scratch.save(down.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = down.join(sized(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         nxt = scratch.save(small.where("a <> b").distinct(), "stars")
-        scratch.drop(edges)
+        for old in (edges, down, least):
+            scratch.drop(old)
         edges = nxt
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
+    else:
+        raise RuntimeError(f"components: not stable after {rounds} rounds")
     return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp")).union(
         edges.groupBy(F.col("b").alias("id")).agg(F.min("b").alias("comp"))
     )
@@ -218,8 +232,9 @@ def across(links: DataFrame, comp: DataFrame | None, prepare: Callable[[DataFram
     """Links (a, b) between different components, among ids that candidate links connect.
 
     ``links``: (a, b).  What they connect forms groups; a group is dealt into blocks of
-    about ``BLOCK`` ids by hash, and each pair of its blocks is one row of work (a block
-    with itself is sent once), which returns the links of a forest over components.
+    about ``BLOCK`` ids or ``BYTES`` of content by hash, large components by themselves.
+    Each pair of its blocks, but those of one component, is one piece of work, which
+    streams by as rows and returns the links of a forest over components.
     """
     groups = components(links).withColumnRenamed("comp", "grp")
     if comp is not None:
@@ -227,40 +242,57 @@ def across(links: DataFrame, comp: DataFrame | None, prepare: Callable[[DataFram
     else:
         groups = groups.withColumn("comp", F.col("id"))
     members = scratch.save(groups, "grouped")
-    sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("grp", "blocks")
-    dealt = scratch.save(members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "dealt")
-    prepared = prepare(dealt.select("id"))
+    several = scratch.save(members.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("grp"), "several")
+    members = members.join(sized(several), "grp")
+    prepared = prepare(members.select("id"))
     column = [c for c in prepared.columns if c != "id"][0]
-    blocks = prepared.join(sized(dealt), "id").groupBy("grp", "block").agg(F.collect_list(F.struct("id", "comp", F.col(column).alias("content"))).alias("rows"))
-    blocks = scratch.save(blocks, "blocks")
-    scratch.release(blocks.sparkSession)
-    here = blocks.select("grp", "block")
+    prepared = scratch.save(prepared.select("id", F.col(column).alias("content")), "contents")
+    scratch.release(prepared.sparkSession)
+    weight = F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BYTES)
+    weighed = members.join(prepared.select("id", F.length("content").alias("bytes")), "id").groupBy("grp", "comp").agg(weight.alias("weight"))
+    weighed = scratch.save(weighed.withColumn("own", F.col("weight") >= 0.5), "weights")
+    shared = weighed.where("not own").groupBy("grp").agg(F.ceil(F.sum("weight")).cast("int").alias("shared"))
+    dealt = members.join(sized(weighed), ["grp", "comp"]).join(sized(scratch.save(shared, "shared")), "grp", "left")
+    # a block: the component that has it for itself or the least long, and a number
+    alone = F.when(F.col("own"), F.col("comp")).otherwise(F.lit(-(1 << 63)))
+    nth = F.pmod(F.xxhash64(F.when(F.col("own"), F.col("id")).otherwise(F.col("comp"))), F.when(F.col("own"), F.ceil("weight")).otherwise(F.col("shared")).cast("long"))
+    dealt = scratch.save(dealt.select("grp", "id", "comp", F.struct("own", alone.alias("of"), nth.cast("int").alias("nth")).alias("block")), "dealt")
+    here = dealt.groupBy("grp", "block").agg(F.count("*").alias("n"))
     first, second = here.select("grp", F.col("block").alias("i")), here.select("grp", F.col("block").alias("j"))
-    work = first.join(second, "grp").where("i <= j").select("grp", "i", F.when(F.col("i") < F.col("j"), F.col("j")).alias("j"))
-    work = work.join(blocks.select("grp", F.col("block").alias("i"), F.col("rows").alias("p")), ["grp", "i"]).join(blocks.select("grp", F.col("block").alias("j"), F.col("rows").alias("q")), ["grp", "j"], "left")
+    pairs = first.join(second, "grp").where("i <= j and not (i.own and j.own and i.of = j.of)")
+    pairs = scratch.save(pairs.withColumn("work", F.monotonically_increasing_id()), "work")
+    side = pairs.select("work", "grp", F.lit(0).alias("side"), F.col("i").alias("block")).union(pairs.where("i <> j").select("work", "grp", F.lit(1), "j"))
+    rows = dealt.join(prepared, "id").join(sized(scratch.save(side, "sides")), ["grp", "block"])
+    tasks = int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("work", "side", "comp", "content").repartition(tasks, "work").sortWithinPartitions("work", "side")
+
+    def forest(sides: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
+        p, q = sides[0], sides[1] or sides[0]
+        comp_p, comp_q = np.array([r[0] for r in p], np.int64), np.array([r[0] for r in q], np.int64)
+        near = similar(*as_sets([r[1] for r in p], [r[1] for r in q]), num, den) & (comp_p[:, None] != comp_q[None, :])
+        x, y = np.nonzero(near)
+        if len(x):
+            nodes, at = np.unique(np.concatenate([comp_p[x], comp_q[y]]), return_inverse=True)
+            root = least_reachable(at[: len(x)], at[len(x) :], len(nodes))
+            child = np.flatnonzero(root != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[root[child]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_work, sides = None, ([], [])
         for batch in batches:
-            for p, q in zip(batch.column(0), batch.column(1), strict=True):
-                p = p.as_py()
-                q = q.as_py() or p
-                comp_p, comp_q = np.array([r["comp"] for r in p]), np.array([r["comp"] for r in q])
-                near = similar(*as_sets([r["content"] for r in p], [r["content"] for r in q]), num, den) & (comp_p[:, None] != comp_q[None, :])
-                x, y = np.nonzero(near)
-                if len(x):
-                    nodes, at = np.unique(np.concatenate([comp_p[x], comp_q[y]]), return_inverse=True)
-                    root = least_reachable(at[: len(x)], at[len(x) :], len(nodes))
-                    child = np.flatnonzero(root != np.arange(len(nodes)))
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[root[child]])], names=["a", "b"])
-
-    # a row is two blocks, so an Arrow batch is to hold few
-    conf, key = blocks.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    usual = conf.get(key)
-    conf.set(key, "2")
-    try:
-        return scratch.save(work.select("p", "q").mapInArrow(run, "a long, b long"), "across")
-    finally:
-        conf.set(key, usual)
+            work, side, of = (batch.column(k).to_pylist() for k in range(3))
+            for k, content in enumerate(batch.column(3)):
+                if work[k] != open_work:
+                    if open_work is not None:
+                        yield from forest(sides)
+                    open_work, sides = work[k], ([], [])
+                sides[side[k]].append((of[k], content.as_py()))
+        if open_work is not None:
+            yield from forest(sides)
+
+    found = scratch.save(rows.mapInArrow(run, "a long, b long"), "across")
+    scratch.drop(prepared)
+    return found
 
 
 def link(

@@ -7,33 +7,43 @@ band (and, for pairs on either side of a band's upper edge, across it) the
 feature domain is cut by hash into first-level partitions, each of them into
 ``n2`` second-level ones, and every choice of ``n2 - k2`` second-level partitions
 of a first-level one gives a signature: the hash of all features in them.
-With more than ``d // (k2 + 1)`` first-level partitions, two sets that differ in at
-most d features agree on one signature at least.
+Of n first-level partitions, two sets that differ in at most d features have
+``n - d // (k2 + 1)`` in which they differ in at most k2 features, and agree there
+on one signature at least.
 
-Two refinements keep this exact and cheaper:
+Refinements that keep this exact and make it cheaper:
 
 * A set of size l has partners that differ in at most ``l * (den - num) / num``
   features, so it gives signatures for the first so many partitions only.
-* Signatures of empty partitions say nothing and would be shared by many sets.
-  ``spare`` additional partitions make up for them; a set with more empty ones
-  than that also gives its prefix, the ``l - ceil(l * num / den) + 1`` features
-  least in hash order, of which similar sets always share one.
-* ``SHARED - 1`` further partitions make similar sets agree on ``SHARED`` signatures
-  at least (or on one of two prefixes), and pairs that share fewer are left out.
+* Signatures of empty choices say nothing and would be shared by many sets, so they
+  are not given.  Each size has spare partitions for as many empty ones as are to be
+  expected.  A set with more than leave ``SHARED`` common signatures sure, whatever
+  the size of its partner (:func:`_sizes`), also gives its prefix, the
+  ``l - ceil(l * num / den) + 1`` features least in a fixed order.  What both of two
+  sets agree to leave empty is empty in both, so if one of them gives no prefix,
+  the pair is found by its partitions; and of two prefixes similar sets share a feature.
+* Partitions enough that similar sets agree on ``SHARED`` signatures at least (or on
+  one of two prefixes); pairs that share fewer are left out.
 * Features that many documents of a sample hold are left out of the domain and
   come last in the order of prefixes.  Sets that differ in at most d features do
   so in any part of the domain, so nothing is lost whatever is left out; what is
   gained is that passages shared by many documents make no signature common.
 
+Sets are identified by 64-bit digests and compared by 40 bits of each feature's hash.
+
 Edge cases: a document that is null, empty or without words has n_shingles 0
 and links with nothing; one with fewer words than n is a single n-gram.
-Repeated rows of a document stay separate rows with the same values.
+Repeated rows of a document stay separate rows with the same values; a null doc_id
+counts as one more id, which is named only if all its copies are null.  Ties have no
+effect.  An empty table gives an empty one.  Other columns of ``docs`` are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +54,7 @@ from . import linking, scratch, texthash
 from .texthash import mix, segment_sums, signed
 
 WIDTH, NUM, DEN, SHARED = 5, 80, 100, 3
+N2, K2 = 3, 1  # second-level partitions, and how many of them a signature leaves out
 
 
 def _sets(batch: pa.RecordBatch, column: int, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -74,86 +85,114 @@ def set_digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long")
 
 
+def _most_different(a, b, num: int, den: int):
+    """The greatest symmetric difference of similar sets of sizes a and b."""
+    return (a + b) * (den - num) // (den + num)
+
+
+def _least_between(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least of values[first..last], both included, for each pair of places."""
+    width, out, tables = last - first + 1, np.empty(len(first)), values
+    for power in range(int(width.max()).bit_length()):
+        here = width >> power == 1
+        out[here] = np.minimum(tables[first[here]], tables[last[here] + 1 - (1 << power)])
+        tables = np.minimum(tables[: -(1 << power)], tables[1 << power :])
+    return out
+
+
+@lru_cache(maxsize=64)
+def _sizes(edge: int, cross: int, num: int, den: int, n2: int, k2: int, shared: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Of a band with the upper edge 2**edge, or of pairs across it: (number of first-level
+    partitions, least size, and for it and each greater size how many of the partitions it
+    uses, and how many of those may be empty so that ``shared`` signatures are sure).
+
+    Sets of sizes l and y use min(n(l), n(y)) partitions in common; without their differences,
+    what is left must be ``shared`` and the empty ones.  n never falls as the size grows, so the
+    least is at the greatest y, where n(l) counts, or at a smaller one, where n(y) does.
+    """
+    most = 1 << edge
+    low, high = (-(-most * num // den), most * den // num) if cross else (most // 2 + 1, most)
+    size = np.arange(low, high + 1)
+    d = int(_most_different(*((most, high) if cross else (most, most)), num, den))
+    need = d // (k2 + 1) + 1
+    n1 = need + need // 8 + shared + 5
+    own = np.minimum(size * (den - num) // num, d) // (k2 + 1) + 1
+    # how many partitions are likely to have an empty choice
+    empty = own * np.minimum(1.0, comb(n2, k2) * np.exp(-size / n1 * (n2 - k2) / n2))
+    n = np.maximum.accumulate(np.minimum(n1, own + shared + 1 + np.ceil(empty + 2.5 * np.sqrt(empty)).astype(np.int64)))
+    least, greatest = np.maximum(-(-size * num // den), low), np.minimum(size * den // num, high)
+    each = (den - num) / (den + num) / (k2 + 1)
+    smaller = size
+    if cross:
+        greatest, smaller = np.where(size <= most, greatest, most), np.where(size <= most, low, most)
+    above = n - _most_different(size, greatest, num, den) // (k2 + 1)
+    below = _least_between(n - each * size, np.minimum(least, smaller) - low, smaller - low) - each * size
+    if cross:
+        below[size <= most] = above[size <= most]  # their partners are greater
+    return n1, low, n, np.floor(np.minimum(above, below)).astype(np.int64) - shared
+
+
+def _cells(features: np.ndarray, n1: int, n2: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first-level and second-level partition of each feature."""
+    mixed = mix(features + np.uint64(0x632BE59BD9B4E019))
+    first = ((mixed >> np.uint64(32)) * np.uint64(n1) >> np.uint64(32)).astype(np.int64)
+    return first, ((mixed & np.uint64(0xFFFFFFFF)) * np.uint64(n2) >> np.uint64(32)).astype(np.int64)
+
+
 def signatures(
-    features: np.ndarray, per: np.ndarray, ids: np.ndarray, num: int = NUM, den: int = DEN, n2: int = 1, k2: int = 0, common: np.ndarray | None = None
+    features: np.ndarray, per: np.ndarray, ids: np.ndarray, num: int = NUM, den: int = DEN, n2: int = N2, k2: int = K2, common: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
     """PartEnum signatures (sig, id) of the sets in ``features``, cut by ``per``; those of prefixes are odd."""
     sizes = np.diff(per)
-    keep_sig, keep_id = [], []
+    keep_sig, keep_id = [np.zeros(0, np.uint64)], [ids[:0]]
     usual = np.zeros(len(features), bool)
     if common is not None and len(common) and len(features):
         place = np.searchsorted(common, features)
         place[place == len(common)] = 0
         usual = common[place] == features
     level = 1_000_003 * n2 + k2
-    mixed = mix(features + np.uint64(0x632BE59BD9B4E019))
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    with np.errstate(divide="ignore"):
-        band = np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)  # upper edge 2**band
-    for cross in (0, 1):
-        if cross:  # the edge 2**edge that a pair may straddle: a <= edge < b <= a * den / num
-            upper = np.where(sizes * den >= (1 << band) * num, band, -1)
-            lower = np.where((sizes - 0) * num <= (1 << np.maximum(band - 1, 0)) * den, band - 1, -1)
-            passes = [upper, lower]
-        else:
-            passes = [band]
-        for edges in passes:
-            for edge in np.unique(edges[(edges >= 0) & (sizes > 0)]):
-                chosen = (edges == edge) & (sizes > 0)
-                rows = chosen[owner] & ~usual
-                most = 1 << int(edge)
-                # the greatest difference: both at the edge, or |a| = edge and |b| = edge * den / num
-                d = most * (den - num) // num if cross else 2 * most * (den - num) // (den + num)
-                n1 = d // (k2 + 1) + 1
-                n1 += _spare(n1) + SHARED - 1
-                which = np.flatnonzero(chosen)
-                local = np.full(len(sizes), -1, np.int64)
-                local[which] = np.arange(len(which))
-                f, own = features[rows], local[owner[rows]]
-                g = mixed[rows]
-                cell = ((g >> np.uint64(32)) * np.uint64(n1) >> np.uint64(32)).astype(np.int64)
-                sub = ((g & np.uint64(0xFFFFFFFF)) * np.uint64(n2) >> np.uint64(32)).astype(np.int64)
-                # own differences, so own number of partitions; never more than the band has
-                d_own = np.minimum(sizes[which] * (den - num) // num, d)
-                need = d_own // (k2 + 1) + 1
-                spare = _spare(need)
-                n_own = np.minimum(need + spare + SHARED - 1, n1)
-                at = own * n1 + cell
-                used = cell < n_own[own]
-                flat = at[used] * n2 + sub[used]
-                sums = np.zeros(len(which) * n1 * n2, np.uint64)
-                np.add.at(sums, flat, mix(f[used] ^ np.uint64(0x2545F4914F6CDD1D)))
-                counts = np.bincount(flat, minlength=len(sums)).reshape(-1, n2)
-                sums = sums.reshape(-1, n2)
-                doc = np.repeat(np.arange(len(which)), n1)
-                part = np.tile(np.arange(n1), len(which))
-                live = part < n_own[doc]
-                bad = np.zeros(len(doc), bool)
-                for subset in combinations(range(n2), n2 - k2):
-                    total = sums[:, list(subset)].sum(axis=1, dtype=np.uint64)
-                    filled = counts[:, list(subset)].sum(axis=1) > 0
-                    bad |= live & ~filled
-                    give = live & filled
-                    salt = np.uint64(((int(edge) * 2 + cross) * 7919 + level * 104729 + sum(1 << (s + 40) for s in subset)) & (2**64 - 1))
-                    keep_sig.append(mix(total[give] ^ mix(part[give].astype(np.uint64) + salt)) & ~np.uint64(1))
-                    keep_id.append(ids[which[doc[give]]])
-                bare = np.bincount(doc[bad], minlength=len(which)) > n_own - need - (SHARED - 1)
-                for k in np.flatnonzero(bare):
-                    mine = slice(per[which[k]], per[which[k] + 1])
-                    n = sizes[which[k]]
-                    prefix = features[mine][np.argsort(usual[mine], kind="stable")][: n - (n * num + den - 1) // den + 1]
-                    keep_sig.append(mix(prefix ^ np.uint64(0xA0761D6478BD642F + int(edge) * 2 + cross)) | np.uint64(1))
-                    keep_id.append(np.full(len(prefix), ids[which[k]]))
-    if not keep_sig:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    band = np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)  # upper edge 2**band
+    # an edge that a pair may straddle: a <= edge < b <= a * den / num
+    upper = np.where(sizes * den >= (1 << band) * num, band, -1)
+    lower = np.where(sizes * num <= (1 << np.maximum(band - 1, 0)) * den, band - 1, -1)
+    for cross, edges in ((0, band), (1, upper), (1, lower)):
+        for edge in np.unique(edges[(edges >= 0) & (sizes > 0)]).tolist():
+            chosen = (edges == edge) & (sizes > 0)
+            which = np.flatnonzero(chosen)
+            n1, low, parts, room = _sizes(edge, cross, num, den, n2, k2, SHARED)
+            parts, room = parts[sizes[which] - low], room[sizes[which] - low]
+            local = np.full(len(sizes), -1, np.int64)
+            local[which] = np.arange(len(which))
+            rows = chosen[owner] & ~usual
+            f, own = features[rows], local[owner[rows]]
+            cell, sub = _cells(f, n1, n2)
+            used = cell < parts[own]
+            flat = (own[used] * n1 + cell[used]) * n2 + sub[used]
+            sums = np.zeros(len(which) * n1 * n2, np.uint64)
+            np.add.at(sums, flat, mix(f[used] ^ np.uint64(0x2545F4914F6CDD1D)))
+            counts = np.bincount(flat, minlength=len(sums)).reshape(-1, n2)
+            sums = sums.reshape(-1, n2)
+            doc, part = np.repeat(np.arange(len(which)), n1), np.tile(np.arange(n1), len(which))
+            live = part < parts[doc]
+            empty = np.zeros(len(doc), bool)
+            for subset in combinations(range(n2), n2 - k2):
+                total = sums[:, list(subset)].sum(axis=1, dtype=np.uint64)
+                filled = counts[:, list(subset)].sum(axis=1) > 0
+                empty |= live & ~filled
+                give = live & filled
+                salt = np.uint64(((edge * 2 + cross) * 7919 + level * 104729 + sum(1 << (s + 40) for s in subset)) & (2**64 - 1))
+                keep_sig.append(mix(total[give] ^ mix(part[give].astype(np.uint64) + salt)) & ~np.uint64(1))
+                keep_id.append(ids[which[doc[give]]])
+            for k in np.flatnonzero(np.bincount(doc[empty], minlength=len(which)) > room):
+                mine = slice(per[which[k]], per[which[k] + 1])
+                n = sizes[which[k]]
+                prefix = features[mine][np.argsort(usual[mine], kind="stable")][: n - (n * num + den - 1) // den + 1]
+                keep_sig.append(mix(prefix ^ np.uint64(0xA0761D6478BD642F + edge * 2 + cross)) | np.uint64(1))
+                keep_id.append(np.full(len(prefix), ids[which[k]]))
     return signed(np.concatenate(keep_sig)), np.concatenate(keep_id)
 
 
-def _spare(need):
-    """Partitions beyond those that the pigeonhole argument needs, against empty ones."""
-    return 3 + need // 16
-
-
 def _signature_rows(docs: DataFrame, width: int, num: int, den: int, n2: int, k2: int, common: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +258,7 @@ def verifier(num: int, den: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
     return verify
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, small: int = 16, n2: int = 1, k2: int = 0) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, small: int = 16, n2: int = N2, k2: int = K2) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``.
 
     component_id: the least doc_id reachable over links of Jaccard similarity

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from spanloom.llm import chat, decontaminate, embed_dedup, html_extract, langid, licenses, line_dedup, ngram_join, packing, quality, queries, scratch
+from spanloom.llm import chat, decontaminate, embed_dedup, html_extract, langid, licenses, line_dedup, linking, ngram_join, packing, quality, queries, scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, x string, sig long"
 
@@ -45,7 +45,7 @@ def union(n, links):
     return {k: root(k) for k in n}
 
 
-@pytest.mark.parametrize("options", [{}, {"small": 2}, {"small": 2, "n2": 3, "k2": 1}])
+@pytest.mark.parametrize("options", [{}, {"small": 2}, {"small": 2, "n2": 1, "k2": 0}])
 def test_ngram_components(docs, options):
     def shingles(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -58,6 +58,69 @@ def test_ngram_components(docs, options):
     assert got == {k: (len(sets[k]), expected[k]) for k in sets}
 
 
+@pytest.mark.parametrize(("n2", "k2"), [(1, 0), (2, 1), (3, 1), (4, 2)])
+def test_room_for_empty_partitions(n2, k2):
+    """What a set decides by itself holds for each size that a partner may have."""
+    for edge in range(9):
+        for cross in (0, 1):
+            n1, low, parts, room = ngram_join._sizes(edge, cross, 80, 100, n2, k2, ngram_join.SHARED)
+            for a in range(low, low + len(parts)):
+                for b in range(low, low + len(parts)):
+                    if 100 * min(a, b) >= 80 * max(a, b) and not (cross and (a <= 1 << edge) == (b <= 1 << edge)):
+                        sure = min(parts[a - low], parts[b - low]) - (a + b) * 20 // 180 // (k2 + 1)
+                        assert parts[a - low] <= n1 and room[a - low] <= sure - ngram_join.SHARED
+
+
+def shared_signatures(a, b, **options):
+    """(even, odd) signatures that two sets have in common."""
+    ids, per = np.array([0, 1]), np.array([0, len(a), len(a) + len(b)])
+    sig, who = ngram_join.signatures(np.concatenate([np.sort(a), np.sort(b)]), per, ids, **options)
+    both = np.intersect1d(sig[who == 0], sig[who == 1])
+    return int((both & 1 == 0).sum()), int((both & 1).sum())
+
+
+@pytest.mark.parametrize(("n2", "k2"), [(1, 0), (2, 1), (3, 1)])
+def test_signatures_of_adversarial_sets(n2, k2):
+    """Similar sets share enough signatures when their features crowd a few partitions and their
+    differences, as many as there can be, spread over all."""
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 1 << 63, 60_000, dtype=np.uint64) * np.uint64(2)
+    for trial in range(300):
+        a = int(rng.integers(4, 400))
+        least, greatest = -(-a * 80 // 100), a * 100 // 80
+        b = int(rng.choice([a, greatest, rng.integers(least, greatest + 1), least]))
+        n1 = ngram_join._sizes(int(np.ceil(np.log2(max(a, b)))), 0, 80, 100, n2, k2, 3)[0]
+        cell = ngram_join._cells(pool, n1, n2)[0]
+        spread = pool[np.unique(cell, return_index=True)[1]]
+        rng.shuffle(spread)
+        crowded = pool[cell < max(1, int(n1 * rng.random()))] if trial % 3 else pool[rng.permutation(len(pool))]
+        d = (a + b) * 20 // 180
+        common = (a + b - d + 1) // 2
+        both = np.setdiff1d(crowded, spread)[: 4 * common]
+        rng.shuffle(both)
+        if len(both) < common or len(spread) < a + b - 2 * common:
+            continue
+        both = both[:common]
+        x = np.concatenate([both, spread[: a - common]])
+        y = np.concatenate([both, spread[a - common : a + b - 2 * common]])
+        assert 100 * common >= 80 * (len(x) + len(y) - common)
+        usual = np.sort(both[: int(rng.integers(0, common))]) if trial % 2 else None
+        even, odd = shared_signatures(x, y, n2=n2, k2=k2, common=usual)
+        assert even >= ngram_join.SHARED or odd
+
+
+def test_components_in_rounds(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1400)] + [(k, k + 1) for k in range(4000, 4200)] + [(9000, 5000 + k) for k in range(500)]
+    expected = union({v for e in edges for v in e}, edges)
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(7).cache()
+    for most in (0, 10**6):
+        got = {r.id: r.comp for r in linking.components(frame, most=most).collect()}
+        assert got == {v: expected[v] for v in {v for a, b in edges if a != b for v in (a, b)}}
+    with pytest.raises(RuntimeError):
+        linking.components(frame, rounds=1, most=0)
+
+
 def test_lines(docs):
     strip = " \t\n\r\x0b\x0c"
     lines = {(r[0], n): re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(strip)) for r in rows() if r[0] is not None for n, x in enumerate((r[1] or "").split("\n")) if x.strip(strip)}
