@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -347,15 +347,18 @@ def link(
         hot = hot.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     else:
         hot = hot.withColumn("comp", F.col("id"))
-    bucket = Window.partitionBy("sig")
-    hot = hot.withColumn("lo", F.min("comp").over(bucket)).withColumn("hi", F.max("comp").over(bucket)).where("lo <> hi").select("sig", "id")
+    # aggregated before they meet, as one signature may have a third of all members
+    spots = scratch.save(hot.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig"), "spots")
+    hot = hot.join(sized(spots), "sig").select("sig", "id")
     if threshold > 1:
         # an id that shares fewer signatures than that, with anyone at all, has no partner among them
         lone = found.where("n > 0").select(F.col("x").alias("id"), "n").union(found.where("n > 0").select(F.col("y").alias("id"), "n")).groupBy("id").agg(F.sum("n").alias("n"))
         own = hot.groupBy("id").agg(F.sum(F.when(F.col("sig") % 2 != 0, threshold).otherwise(1)).alias("h"))
         able = own.join(lone, "id", "left").where(F.col("h") + F.coalesce("n", F.lit(0)) >= threshold).select("id")
         hot = hot.join(able, "id", "left_semi")
-    hot = hot.withColumn("b", F.min("id").over(bucket)).select(F.col("id").alias("a"), "b")
+    hot = scratch.save(hot, "hot")
+    least = scratch.save(hot.groupBy("sig").agg(F.min("id").alias("b")), "least")
+    hot = hot.join(sized(least), "sig").select(F.col("id").alias("a"), "b")
     open_links = scratch.save(rest.select(F.col("x").alias("a"), F.col("y").alias("b")).union(hot).where("a <> b").distinct(), "open")
     scratch.drop(found)
     scratch.release(open_links.sparkSession)
