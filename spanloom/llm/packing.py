@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-LENGTH, END, CACHE = 2048, 0, 1_500_000
+LENGTH, END, CACHE = 2048, 0, 300_000
 _MARKS, _ENDS = b".,!?;:%$#&*|", frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
@@ -96,7 +96,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
         seen = np.zeros(length + 1, np.int64)
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            rows = 2048
+            rows = 1024
             for lo in range(0, len(batch), rows):
                 coded = tokenizer.encode([t.as_py() or b"" for t in texts.slice(lo, rows)])
                 at, piece, start, size, crc = [], [], [], [], []
