@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from .texthash import as_bytes
 
 OPEN, MIDDLE, CLOSE = b"<s>[INST] ", b" [/INST]\n", b"</s>\n"
@@ -110,7 +111,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
                 last, count = key[-1], int(seq[-1]) + 1
             yield pa.RecordBatch.from_arrays([ids, pa.array(seq.astype(np.int64)), column.cast(pa.string()), pa.array(lo), pa.array(hi)], names=["conv_id", "seq", "formatted", "loss_start", "loss_end"])
 
-    return ordered.select("conv_id", "role", "text").mapInArrow(run, "conv_id long, seq long, formatted string, loss_start long, loss_end long")
+    return ordered.select("conv_id", "role", "text").mapInArrow(scratch.lean(run), "conv_id long, seq long, formatted string, loss_start long, loss_end long")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -146,7 +147,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if state is not None:
             yield pa.RecordBatch.from_pylist([row()], schema=_DIGESTS)
 
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(scratch.lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 _DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])

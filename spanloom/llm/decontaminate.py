@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE, MAX_CHARS = 0.05, 20_000_000
+from . import scratch
+
+RATE, MAX_CHARS = 0.05, 2_000_000
 
 
 def normal(text: str | None) -> str:
@@ -144,7 +146,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, most: int
                 if at:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(item, pa.int64()), pa.array(distance, pa.int32()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "distance", "end"])
 
-        part = rows.mapInArrow(run, "doc_id long, item_id long, distance int, end long")
+        part = rows.mapInArrow(scratch.lean(run), "doc_id long, item_id long, distance int, end long")
         out = part if out is None else out.union(part)
     return out
 
@@ -161,5 +163,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, most: int =
                 keep = np.array([not matcher.find(normal(t.as_py())) for t in batch.column(place)], bool)
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(scratch.lean(run), schema)
     return docs

@@ -56,7 +56,7 @@ def _valid(embeddings: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(out, pa.binary())], names=["vec_id", "label", "vector"])
 
     known = embeddings.where("label is not null and embedding is not null and vec_id is not null")
-    return known.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding").mapInArrow(run, "vec_id long, label string, vector binary")
+    return known.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding").mapInArrow(scratch.lean(run), "vec_id long, label string, vector binary")
 
 
 def axes(members: DataFrame) -> dict[int, np.ndarray]:
@@ -204,7 +204,7 @@ def embedding_components(embeddings: DataFrame, cosine: float = 0.98, lead: int
                     np.minimum.at(least, label, ids)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(least[label[some]])], names=["id", "links", "low"])
 
-    found = scratch.save(work.select("block_a", "block_b", "a", "b").mapInArrow(join_blocks, "id long, links long, low long"), "links")
+    found = scratch.save(work.select("block_a", "block_b", "a", "b").mapInArrow(scratch.lean(join_blocks), "id long, links long, low long"), "links")
     edges = found.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     comp = scratch.save(linking.components(edges), "components")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))

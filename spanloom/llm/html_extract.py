@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+
 TAG_COST, LOW = -0.1, -0.05
 
 _TOKEN = re.compile(
@@ -252,4 +254,4 @@ def main_text(pages: DataFrame, weights: dict[str, float] | None = None) -> Data
                 texts = [extract(t.as_py(), weights) for t in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(scratch.lean(run), "page_id long, url string, text string")

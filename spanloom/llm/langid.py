@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import texthash
+from . import scratch, texthash
 
 WINDOW, HIDDEN, MAX_ROWS, MAX_WINDOWS = 24, 12, 3_000, 60_000
 _LETTER = re.compile(r"[^\W\d_]")
@@ -234,4 +234,4 @@ def predict(docs: DataFrame, model: Network | None) -> DataFrame:
                     score = np.where(lettered, p.max(axis=1).clip(0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scratch.lean(run), "doc_id long, lang_pred string, score double")

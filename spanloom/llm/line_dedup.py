@@ -121,7 +121,7 @@ def _line_table(docs: DataFrame) -> DataFrame:
                     [batch.column(0).take(pa.array(owner + lo)), pa.array(number.astype(np.int32)), pa.array(signed(texthash.span_hashes(part, starts, ends)))], names=["doc_id", "line", "line_id"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line int, line_id long")
+    return docs.select("doc_id", "text").mapInArrow(scratch.lean(run), "doc_id long, line int, line_id long")
 
 
 def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -160,7 +160,7 @@ def _bands(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             sig = mix((mix(table) * odd).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(signed(sig.ravel())), pa.array(signed(np.repeat(ids, bands)))], names=["sig", "id"])
 
-    return docs.select("text").mapInArrow(run, "sig long, id long")
+    return docs.select("text").mapInArrow(scratch.lean(run), "sig long, id long")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def _texts(docs: DataFrame) -> DataFrame:
             lines = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(inside.tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(signed(ids)), lines.cast(pa.binary())], names=["id", "bytes"])
 
-    return docs.select("text").mapInArrow(run, "id long, bytes binary")
+    return docs.select("text").mapInArrow(scratch.lean(run), "id long, bytes binary")
 
 
 def shingle_set(line: bytes, size: int) -> set[str]:
@@ -201,7 +201,7 @@ def _verifier(size: int, num: int, den: int):
     def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         bx = texts.select(F.col("id").alias("x"), F.col("bytes").alias("bx"))
         by = texts.select(F.col("id").alias("y"), F.col("bytes").alias("by"))
-        return pairs.join(by, "y").join(bx, "x").select("x", "y", "bx", "by").mapInArrow(check, "x long, y long")
+        return pairs.join(by, "y").join(bx, "x").select("x", "y", "bx", "by").mapInArrow(scratch.lean(check), "x long, y long")
 
     return verify
 

@@ -111,7 +111,7 @@ def bucket_rows(small: int, threshold: int) -> Callable[[Iterator[pa.RecordBatch
 def candidates(sigs: DataFrame, small: int = 16, threshold: int = 1) -> DataFrame:
     """(x, y, n) of signature rows (sig, id); one shuffle, on the signature."""
     ordered = sigs.select("sig", "id").repartition("sig").sortWithinPartitions("sig", "id")
-    return ordered.mapInArrow(bucket_rows(small, threshold), "x long, y long, n int")
+    return ordered.mapInArrow(scratch.lean(bucket_rows(small, threshold)), "x long, y long, n int")
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,10 +146,10 @@ def components(edges: DataFrame, rounds: int = 60, most: int = ALONE) -> DataFra
     star's centre, which many vertices share, are a plain join's that Spark can split.
     Raises if ``rounds`` are not enough.
     """
-    edges = scratch.save(edges.select("a", "b").where("a <> b").mapInArrow(_forest, "id long, comp long").where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")), "forest")
+    edges = scratch.save(edges.select("a", "b").where("a <> b").mapInArrow(scratch.lean(_forest), "id long, comp long").where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")), "forest")
     mark = None
     if edges.limit(most + 1).count() <= most:
-        stars = scratch.save(edges.coalesce(1).mapInArrow(_forest, "id long, comp long"), "stars")
+        stars = scratch.save(edges.coalesce(1).mapInArrow(scratch.lean(_forest), "id long, comp long"), "stars")
         scratch.drop(edges)
         return stars
     for _ in range(rounds):
@@ -290,7 +290,7 @@ def across(links: DataFrame, comp: DataFrame | None, prepare: Callable[[DataFram
         if open_work is not None:
             yield from forest(sides)
 
-    found = scratch.save(rows.mapInArrow(run, "a long, b long"), "across")
+    found = scratch.save(rows.mapInArrow(scratch.lean(run), "a long, b long"), "across")
     scratch.drop(prepared)
     return found
 

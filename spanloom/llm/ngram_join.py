@@ -82,7 +82,7 @@ def set_digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     names=["doc_id", "n_shingles", "set_id"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scratch.lean(run), "doc_id long, n_shingles long, set_id long")
 
 
 def _most_different(a, b, num: int, den: int):
@@ -200,7 +200,7 @@ def _signature_rows(docs: DataFrame, width: int, num: int, den: int, n2: int, k2
                 sig, ids = signatures(features, per, _digest(features, per), num, den, n2, k2, common)
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ids)], names=["sig", "id"])
 
-    return docs.select("text").mapInArrow(run, "sig long, id long")
+    return docs.select("text").mapInArrow(scratch.lean(run), "sig long, id long")
 
 
 def common_features(docs: DataFrame, count: int, width: int, sample: int = 4_000, share: float = 0.004) -> np.ndarray:
@@ -215,7 +215,7 @@ def common_features(docs: DataFrame, count: int, width: int, sample: int = 4_000
             for _, _, features, _ in _sets(batch, 0, width):
                 yield pa.RecordBatch.from_arrays([pa.array(signed(features))], names=["f"])
 
-    counts = some.select("text").mapInArrow(run, "f long").groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= max(12, int(share * sample)))
+    counts = some.select("text").mapInArrow(scratch.lean(run), "f long").groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= max(12, int(share * sample)))
     return np.sort(np.array([r["f"] for r in counts.select("f").collect()], np.int64).view(np.uint64))
 
 
@@ -253,7 +253,7 @@ def verifier(num: int, den: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
     def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         fx = sets.select(F.col("id").alias("x"), F.col("features").alias("fx"))
         fy = sets.select(F.col("id").alias("y"), F.col("features").alias("fy"))
-        return pairs.join(fy, "y").join(fx, "x").select("x", "y", "fx", "fy").mapInArrow(check, "x long, y long")
+        return pairs.join(fy, "y").join(fx, "x").select("x", "y", "fx", "fy").mapInArrow(scratch.lean(check), "x long, y long")
 
     return verify
 
@@ -278,7 +278,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
                     sets = [_packed(features[per[i] : per[i + 1]]) for i in range(len(per) - 1)]
                     yield pa.RecordBatch.from_arrays([pa.array(_digest(features, per)), pa.array(sets, pa.binary())], names=["id", "features"])
 
-        return docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(run, "id long, features binary")
+        return docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(scratch.lean(run), "id long, features binary")
 
     def as_sets(a: list, b: list) -> tuple[list, list]:
         return [_unpacked(x) for x in a], [_unpacked(x) for x in b]

@@ -96,7 +96,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
         seen = np.zeros(length + 1, np.int64)
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            rows = 1024
+            rows = 256
             for lo in range(0, len(batch), rows):
                 coded = tokenizer.encode([t.as_py() or b"" for t in texts.slice(lo, rows)])
                 at, piece, start, size, crc = [], [], [], [], []
@@ -118,7 +118,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
                 )
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema).withColumn("part", F.spark_partition_id())
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scratch.lean(run), schema).withColumn("part", F.spark_partition_id())
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -184,4 +184,4 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
 
     ranked = rows.join(tallies, ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, schema)
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(scratch.lean(place), schema)

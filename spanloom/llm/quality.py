@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import texthash
+from . import scratch, texthash
 
 CUT, MAX_ROWS, MAX_PAIRS = 0.3, 12_000, 40_000
 
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, max
                 x = features(data, offsets[lo : hi + 1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    seen = rows.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(run, "doc_id long, quality int, x array<double>")
+    seen = rows.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(scratch.lean(run), "doc_id long, quality int, x array<double>")
     found = seen.toPandas().sort_values(["doc_id"], kind="stable").drop_duplicates("doc_id").head(max_rows)
     if found.empty:
         return None
@@ -146,7 +146,7 @@ def score(docs: DataFrame, model: Ranking | None) -> DataFrame:
                 s = model.score(features(data, offsets[lo : hi + 1])) if model else np.full(hi - lo, 0.5)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(s)], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scratch.lean(run), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Ranking | None, cut: float = CUT) -> DataFrame:
@@ -161,7 +161,7 @@ def keep_good(docs: DataFrame, model: Ranking | None, cut: float = CUT) -> DataF
                 s = model.score(features(data, offsets[lo : hi + 1])) if model else np.full(hi - lo, 0.5)
                 yield batch.slice(lo, hi - lo).filter(pa.array(s >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(scratch.lean(run), docs.schema)
 
 
 def score_quantile(scores: DataFrame, share: float, accuracy: int = 10_000) -> float:
