@@ -22,6 +22,7 @@ that repeat a doc_id are packed as separate documents.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -35,16 +36,24 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-LENGTH, END, CACHE = 2048, 0, 300_000
+LENGTH, END, CACHE = 2048, 0, 200_000
 _MARKS, _ENDS = b".,!?;:%$#&*|", frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
-class WordTokenizer:
-    """Ids of texts by a vocabulary that is blind to case and never joins words across white space.
+#: The steps of a vocabulary that is blind to case and joins nothing across white space.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
 
-    Words are encoded once and remembered, up to ``cache`` of them; a full memory keeps
-    the words in use.  A word that ends in plain punctuation behind a letter or digit
-    is its stem and that punctuation, which the vocabulary never joins either.
+class WordTokenizer:
+    """Ids of texts by a vocabulary file.
+
+    If the file names the steps above, words are encoded once and remembered, up to
+    ``cache`` of them; a full memory keeps the words in use.  A word that ends in plain
+    punctuation behind a letter or digit is its stem and that punctuation, which the
+    vocabulary never joins either.  Words of letters alone are encoded many at a time: each
+    gives one piece that ends in an id whose token has the suffix of a word's end.
+    With any other file, whole texts are encoded as they are.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -52,15 +61,39 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.cache = Tokenizer.from_file(path), {}, cache
+        steps = json.loads(self.tokenizer.to_str())
+        split = (steps.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_word = (steps.get("normalizer") or {}).get("normalizers") == _NORMALIZER and not steps["post_processor"] and len(split) == 2
+        self.by_word = self.by_word and split[0].get("pattern") == {"Regex": _WORDS} and split[1].get("add_prefix_space") is False
+        suffix, vocabulary = steps["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.last[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _one_by_one(self, words: list[bytes]) -> None:
+        for word, code in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
+            self.known[word] = np.array(code.ids, "<u4").tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        for lo in range(0, len(words), 5_000):
-            part = words[lo : lo + 5_000]
-            for word, code in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(code.ids, "<u4").tobytes()
+        letters, others = [], []
+        for word in words:
+            (letters if word.isalpha() or word.decode().isalpha() else others).append(word)
+        for lo in range(0, len(letters), 5_000):
+            part = letters[lo : lo + 5_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) != len(part):  # a letter whose lower case is more than a letter
+                self._one_by_one(part)
+                continue
+            data = ids.tobytes()
+            self.known.update((word, data[a:b]) for word, a, b in zip(part, [0, *ends], ends))  # noqa: B905  the last end starts nothing
+        for lo in range(0, len(others), 5_000):
+            self._one_by_one(others[lo : lo + 5_000])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text, without special tokens."""
+        if not self.by_word:
+            return [np.array(code.ids, "<u4").tobytes() for code in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
         split = [t.lower().split() for t in texts]  # A-Z only; at 0x20, 0x09-0x0d
         words = set().union(*split)
         new = words - self.known.keys()
