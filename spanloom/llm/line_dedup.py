@@ -231,13 +231,14 @@ def line_components(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, ro
     comp = linking.link(_bands(docs, size, bands, rows), prepare, _verifier(size, num, den), as_sets, num, den)
     firsts = lines.groupBy("line_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")).alias("first"))
     if comp is not None:
-        firsts = scratch.save(firsts, "firsts")
+        firsts = scratch.save(firsts, "own")
         named = comp.withColumnRenamed("id", "line_id")
         # distinct lines only: a component's first line over its members, then back to them
         of_comp = firsts.join(named, "line_id").groupBy("comp").agg(F.min("first").alias("least"))
         linked = named.join(of_comp, "comp").select("line_id", "least")
         firsts = firsts.join(linked, "line_id", "left").select("line_id", F.coalesce("least", "first").alias("first"))
-    found = lines.join(firsts, "line_id")
+    # written first, so that both sides are plain and Spark can split the rows of a very common line
+    found = lines.join(scratch.save(firsts, "firsts"), "line_id")
     return found.select("doc_id", "line", "line_id", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))).alias("keep"))
 
 
