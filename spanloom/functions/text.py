@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def strip_hit_prefix(line: Column) -> Column:
-    """Without the leading number or alignment arrow of a printed line."""
-    return F.regexp_replace(F.regexp_replace(line, r"^\s*\d+:\s*", ""), r"^-->.+?:\s*", "")
+    """Without what a printed line starts with: its number, or an arrow and the corpus it is aligned to."""
+    return F.regexp_replace(line, r"^\s*(?:[0-9]+|-->[^:]+):\s*", "")
 
 
 def braces_inside(line: Column, tag: str = r"\w+_id") -> Column:
@@ -91,13 +91,69 @@ def clip_key(corpus: Column, line_key: Column, start: Column, stop: Column) -> C
     return F.sha2(F.concat_ws("@", corpus, line_key.cast("string"), start.cast("string"), stop.cast("string")), 256)
 
 
-def audio_name(name: Column) -> Column:
-    """File name of older recordings: no directory, no extension, lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(name, r"^.*[/\\]", ""), r"\.\w+$", ""))
+def audio_name(name: Column, corpus: Column) -> Column:
+    """File name of older recordings: without leading capitals and their underscore and without
+    ``.wav``; in one corpus also without trailing capitals, behind ``BB_``."""
+    stem = F.regexp_replace(F.regexp_replace(name, "^[A-Z]*_", ""), r"(?i)\.wav", "")
+    return F.when(corpus == "bigbrother", F.concat(F.lit("BB_"), F.regexp_replace(stem, "_[A-Z]+$", ""))).otherwise(stem)
 
 
-def hz_to_pixel(hz: Column, low: float, high: float, height: int) -> Column:
-    return F.round((F.lit(high) - hz) / F.lit(high - low) * F.lit(height))
+def curve_pixel(hz: Column, most: float, waveform: int, total: int) -> Column:
+    """The row of a formant's or a pitch's dot in an image: below the waveform, ``most`` Hz at the top."""
+    return F.lit(waveform) + F.lit(total - waveform) * (F.lit(most) - hz) / F.lit(most)
+
+
+def pixel_to_hz(row: Column, total: int, top: float, height: int) -> Column:
+    """The frequency under the mouse in a spectrogram of ``height`` rows that ends at ``top`` Hz."""
+    return F.round((F.lit(total) - row) * F.lit(top) / F.lit(height)).cast("long")
+
+
+def milliseconds(column: Column, pixels_per_second: float) -> Column:
+    """The time at, or the length of, a stretch of an image."""
+    return F.round(column * 1000 / F.lit(pixels_per_second)).cast("long")
+
+
+def url_encoded(name: Column) -> Column:
+    """A file name in a URL: blanks as %20, reserved characters as they are."""
+    out = F.replace(F.url_encode(name), F.lit("+"), F.lit("%20"))
+    for c in ";/?:@&=+$,[]!~'()":
+        out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return out
+
+
+def humanised(code: Column) -> Column:
+    """``short_name_id`` as ``Short name``."""
+    words = F.lower(F.replace(F.regexp_replace(code, "_id$", ""), F.lit("_"), F.lit(" ")))
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1 << 30))
+
+
+def type_name(name: Column) -> Column:
+    """``Module::ClassName`` as ``class_name``."""
+    return F.lower(F.regexp_replace(F.regexp_replace(name, "^.*::", ""), r"(?<=[a-z0-9])(?=[A-Z])", "_"))
+
+
+def property_name(name: Column) -> Column:
+    return F.regexp_replace(name, "^@", "")
+
+
+def is_record_id(text: Column) -> Column:
+    return text.rlike(r"^#[0-9]+:[0-9]+$")
+
+
+def words_joined(words: Column) -> Column:
+    """Words with blanks between them; words of Chinese characters alone without."""
+    chinese = F.forall(words, lambda w: w.rlike("^[\u4e00-\u9fff\u3400-\u4dbf\uf900-\ufaff]+$"))
+    return F.when(chinese, F.array_join(words, "")).otherwise(F.array_join(words, " "))
+
+
+def common(a: Column, b: Column) -> Column:
+    """What two lists have in common, each once."""
+    return F.array_intersect(a, b)
+
+
+def added(now: Column, before: Column) -> Column:
+    """What is in a list and was not before."""
+    return F.array_except(now, before)
 
 
 def pinyin(text: Column) -> Column:

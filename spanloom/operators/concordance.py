@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import words_joined
 from .match import ORDER
 
 PAGE = 50
 
 
 def word_slice(words: Column, first: Column, count: Column) -> Column:
-    return F.array_join(F.slice(words, first + 1, F.greatest(count, F.lit(0))), " ")
+    return words_joined(F.slice(words, first + 1, F.greatest(count, F.lit(0))))
 
 
 def kwic(hits: DataFrame) -> DataFrame:
@@ -46,6 +47,21 @@ def sort_key(by: str) -> Column:
     return keys[by]
 
 
+def with_headword_len(hits: DataFrame, region: tuple[Column, Column]) -> DataFrame:
+    """Adds headword_len, the number of tokens of the headword around the match."""
+    return hits.withColumn("headword_len", region[1] - region[0] + 1)
+
+
+def search_order(queries: list[dict], by: str = "position") -> str:
+    """A headword search is sorted by the headword's length, whatever was asked for."""
+    return "headword_len" if any(q.get("headword_search") for q in queries) else by
+
+
+def first_of(rows: DataFrame, *order: str) -> DataFrame:
+    """The first row in an order."""
+    return rows.orderBy(*order).limit(1)
+
+
 def sort(hits: DataFrame, by: str = "position") -> DataFrame:
     """Ties, and ``position``, in corpus order; an absent neighbour first."""
     keys = [] if by == "position" else [sort_key(by).asc_nulls_first()]

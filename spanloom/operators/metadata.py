@@ -36,6 +36,31 @@ def shown(values: DataFrame) -> DataFrame:
     return values.select("value_id", "category", text.alias("text"))
 
 
+def listed(values: DataFrame, category: str) -> DataFrame:
+    """(value_id, text) of a category as a picker lists them, by text."""
+    return shown(values.where(F.col("category") == category)).select("value_id", "text").orderBy("text", "value_id")
+
+
+def linked_values(cells: DataFrame) -> DataFrame:
+    """(text_id, value_id): which texts have which values of :func:`value_table`."""
+    return cells.select("text_id", F.xxhash64("category", "value").alias("value_id")).distinct()
+
+
+def matching_ids(cells: DataFrame, types: dict[str, str], selected: dict[str, list[int]]) -> DataFrame:
+    """Texts by the ids of values, as a search request has them; see :func:`matching_texts`."""
+    links, chosen = linked_values(cells), {c: v for c, v in selected.items() if v}
+    if not chosen:
+        return links.select("text_id").distinct()
+    wanted = value_table(cells, types).where(F.col("value_id").isin([i for v in chosen.values() for i in v])).select("value_id", "category")
+    met = links.join(wanted, "value_id").groupBy("text_id").agg(F.count_distinct("category").alias("met"))
+    return met.where(F.col("met") == len(chosen)).select("text_id")
+
+
+def inline(spark, name: str, keys: list) -> DataFrame:
+    """A relation of a few keys, each once."""
+    return spark.createDataFrame([(k,) for k in dict.fromkeys(keys)], f"{name} {'long' if all(isinstance(k, int) for k in keys) else 'string'}")
+
+
 def matching_texts(cells: DataFrame, selected: dict[str, list[str]], key: str = "text_id") -> DataFrame:
     """Texts with one of the selected values in every category: OR within, AND across.
 
@@ -126,8 +151,8 @@ def runs(line_keys: DataFrame, bucket: int = 1 << 20) -> DataFrame:
     """(basename, line_key_begin, line_key_end) of runs of equal basenames in key order.
 
     ``lag`` runs inside buckets of keys; a bucket's first row looks at the last row of
-    the bucket before it.  Only the rows at which a run begins, one for each run,
-    meet in one order.
+    the bucket before it, and a bucket's last run ends before the first of a later one.
+    Only one row for each bucket meets in one order.
     """
     from pyspark.sql import Window
 
@@ -137,8 +162,10 @@ def runs(line_keys: DataFrame, bucket: int = 1 << 20) -> DataFrame:
     inside = rows.withColumn("__before", F.lag(F.struct("basename")).over(Window.partitionBy("__b").orderBy("line_key")))
     changed = inside.join(ends, "__b").where(~F.col("basename").eqNullSafe(F.when(F.col("__before").isNull(), F.col("__prior")).otherwise(F.col("__before.basename"))))
     last = rows.agg(F.max("line_key").alias("__last"))
-    ended = changed.withColumn("__next", F.lead("line_key").over(Window.orderBy("line_key"))).join(F.broadcast(last))  # one row
-    return ended.select("basename", F.col("line_key").alias("line_key_begin"), F.coalesce(F.col("__next") - 1, F.col("__last")).alias("line_key_end"))
+    starts = changed.groupBy("__b").agg(F.min("line_key").alias("__start"))  # one row for each bucket
+    later = starts.withColumn("__later", F.lead("__start").over(Window.orderBy("__b"))).select("__b", "__later")
+    ended = changed.withColumn("__next", F.lead("line_key").over(Window.partitionBy("__b").orderBy("line_key"))).join(later, "__b").join(F.broadcast(last))  # one row
+    return ended.select("basename", F.col("line_key").alias("line_key_begin"), F.coalesce(F.col("__next") - 1, F.col("__later") - 1, F.col("__last")).alias("line_key_end"))
 
 
 def media_of(keys: DataFrame, media: DataFrame, width: int = 1024) -> DataFrame:

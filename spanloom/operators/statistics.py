@@ -26,6 +26,23 @@ def by_place(groups: DataFrame, places: DataFrame) -> DataFrame:
     return groups.join(of, "who_name").groupingSets([["place"], ["place", "phon"]], "place", "phon").agg(F.sum("freq").alias("freq"), F.grouping("phon").alias("total"))
 
 
+def tid_places(cells: DataFrame, tids: list[str] | None = None, place: str = "place") -> DataFrame:
+    """(who_name, place): the place of each text's tid, the greatest if there are several.
+
+    ``cells``: (text_id, category, value); ``tids``: these only.
+    """
+    named = cells.where(F.col("category") == "tid").select("text_id", F.col("value").alias("who_name"))
+    if tids is not None:
+        named = named.where(F.col("who_name").isin(tids))
+    at = cells.where(F.col("category") == place).select("text_id", F.col("value").alias("place"))
+    return named.join(at, "text_id").groupBy("who_name").agg(F.max("place").alias("place"))
+
+
+def total_width(images: DataFrame, key: str = "clip", width: str = "width") -> DataFrame:
+    """(key, images, width): the images of a clip side by side."""
+    return images.groupBy(key).agg(F.count("*").alias("images"), F.sum(width).alias("width"))
+
+
 def legend(groups: DataFrame) -> DataFrame:
     """Forms for a map's legend; the undefined one is left out."""
     return groups.where("phon <> '_'").groupBy("phon").agg(F.sum("freq").alias("freq"))

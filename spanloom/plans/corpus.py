@@ -58,12 +58,33 @@ def texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return own.join(labels.select(F.col("doc_id").alias("text_id"), flag("quality"), flag("toxic")), "text_id", "left")
 
 
-def alignment(docs: DataFrame, first: str, second: str) -> DataFrame:
-    """The k-th text of one language beside the k-th of another, line by line."""
+def numbered(rows: DataFrame, by: str, key: str, width: int = 1 << 16) -> DataFrame:
+    """Adds k, the rank (from 1) of whole-numbered ``key`` within ``by``.
+
+    Ranked inside ranges of ``width`` keys; what the ranges before hold is added, and only one
+    row for each range and ``by`` meets in one order.
+    """
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    ranked = docs.where(F.col("lang").isin(first, second)).select("lang", "doc_id", F.size(F.split("text", "\n", -1)).alias("n")).withColumn("k", rank)
+    cut = rows.withColumn("__b", F.floor(F.col(key) / width))
+    held = cut.groupBy(by, "__b").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    held = held.select(by, "__b", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(by, "__b").orderBy(key))
+    return cut.withColumn("__k", inside).join(held, [by, "__b"]).withColumn("k", F.col("__k") + F.col("__before")).drop("__b", "__k", "__before")
+
+
+def positions(rows: DataFrame) -> DataFrame:
+    """Adds start, the position of a sentence's first token in its text."""
+    from pyspark.sql import Window
+
+    before = F.sum(F.size("word")).over(Window.partitionBy("text_id").orderBy("s_no").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("start", F.coalesce(before, F.lit(0)))
+
+
+def alignment(docs: DataFrame, first: str, second: str) -> DataFrame:
+    """The k-th text of one language beside the k-th of another, line by line."""
+    ranked = numbered(docs.where(F.col("lang").isin(first, second)).select("lang", "doc_id", F.size(F.split("text", "\n", -1)).alias("n")), "lang", "doc_id")
     a = ranked.where(F.col("lang") == first).select("k", F.col("doc_id").alias("text_id"), F.col("n").alias("na"))
     b = ranked.where(F.col("lang") == second).select("k", F.col("doc_id").alias("other_text_id"), F.col("n").alias("nb"))
     lines = a.join(b, "k").withColumn("s_no", F.explode(F.sequence(F.lit(0), F.least("na", "nb") - 1)))

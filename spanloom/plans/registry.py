@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cqp, text as T
@@ -122,12 +122,6 @@ def or_phrases(spark, sf_dir):
     return M.match(_sentences(spark, sf_dir), cqp.any_of(['[word="of"] [word="the"]', '[word="in"] [word="the"]', '[word="of"] [word="the"]'])).select(*_SPAN)
 
 
-@query(TOK + "SELECT text_id, s_no, i AS first, 0 AS last FROM tok WHERE i = 0 AND regexp_full_match(lower(word), 'th.+')")
-def headword(spark, sf_dir):
-    rows = _sentences(spark, sf_dir)
-    return M.match(rows, '<headword> [word="th.+" %c] []{0,} </headword>', {"headword": (F.lit(0), F.lit(0))}).select(*_SPAN)
-
-
 @query(PAIR + "SELECT text_id, s_no, first, last FROM hit ORDER BY text_id, s_no, first LIMIT 100")
 def cut_n(spark, sf_dir):
     return M.match(_sentences(spark, sf_dir), _PHRASE + " cut 100").select(*_SPAN)
@@ -361,28 +355,32 @@ def aligned_display(spark, sf_dir):
 # -- scalar functions -------------------------------------------------------------------------
 
 
-@query(PAIR + "SELECT text_id, s_no, first, CAST(text_id AS VARCHAR) AS s_id, array_to_string(w[1:first], ' ') AS \"left\", array_to_string(w[first + 1:last + 1], ' ') AS match, array_to_string(w[last + 2:len(w)], ' ') AS \"right\" FROM hit WHERE NOT regexp_matches(array_to_string(w, ' '), '[<>{}]')")
-def hit_text_split(spark, sf_dir):
-    """Prints hits as marked-up lines and reads them again."""
-    lines = K.kwic(_phrase(spark, sf_dir)).where(~F.array_join("word", " ").rlike("[<>{}]"))
-    printed = F.concat(F.lit("12: {{<s_id "), F.col("text_id").cast("string"), F.lit(">"), F.col("left"), F.lit(" ^"), F.col("match"), F.lit("}} "), F.col("right"), F.lit("</s_id>"))
-    moved = T.braces_inside(T.strip_hit_prefix(printed))
-    line = F.replace(F.replace(moved, F.lit("{{"), F.lit("")), F.lit(" ^"), F.lit(" {{"))
-    return lines.select("text_id", "s_no", "first", T.split_hit(line).alias("h")).select("text_id", "s_no", "first", "h.*")
+_MARKS = {"&": "&amp;", "<": "&lt;", ">": "&gt;", "{": "&#123;", "}": "&#125;"}
 
 
-@query(TOK + "SELECT text_id, s_no, i, word AS form, lemma, CASE WHEN pos <> 'WORD' THEN pos END AS pos FROM att WHERE s_no = 0 AND i < 3 AND NOT contains(word, '/') AND lemma <> ''")
-def token_display(spark, sf_dir):
-    """Tokens as ``form/lemma/pos`` and back; one tag stands for an undefined value."""
-    rows = C.tokens(_sentences(spark, sf_dir, "lemma", "pos").where("s_no = 0"), ("word", "lemma", "pos")).where("i < 3 and not contains(word, '/') and lemma <> ''")
-    shown = F.concat_ws("/", "word", "lemma", F.when(F.col("pos") == "WORD", "__UNDEF__").otherwise(F.col("pos")))
-    read = T.token_attributes(shown, ["lemma", "pos"])
-    return rows.select("text_id", "s_no", "i", T.token_form(shown).alias("form"), F.try_element_at(read, F.lit("lemma")).alias("lemma"), F.try_element_at(read, F.lit("pos")).alias("pos"))
+def _swapped(text: Column, marks: list[tuple[str, str]]) -> Column:
+    for old, new in marks:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+@query(PAIR + "SELECT text_id, s_no, first, CAST(text_id AS VARCHAR) AS s_id, array_to_string(w[1:first], ' ') AS \"left\", array_to_string(w[first + 1:last + 1], ' ') AS match, array_to_string(w[last + 2:len(w)], ' ') AS \"right\" FROM hit")
+def hit_text_split(spark, sf_dir):
+    """Prints hits as marked-up lines, with braces outside the tags at a line's ends, and reads them again."""
+    lines = K.kwic(_phrase(spark, sf_dir))
+    left, match, right = (_swapped(F.col(c), list(_MARKS.items())) for c in ("left", "match", "right"))
+    tag, end = F.concat(F.lit("<s_id "), F.col("text_id").cast("string"), F.lit(">")), F.lit("</s_id>")
+    before = F.when(left == "", F.concat(F.lit("{{"), tag)).otherwise(F.concat(tag, left, F.lit(" {{")))
+    after = F.when(right == "", F.concat(end, F.lit("}}"))).otherwise(F.concat(F.lit("}} "), right, end))
+    read = T.split_hit(T.braces_inside(T.strip_hit_prefix(F.concat(F.lit(" 12: "), before, match, after))))
+    back = [(new, old) for old, new in reversed(_MARKS.items())]
+    return lines.select("text_id", "s_no", "first", read.alias("h")).select("text_id", "s_no", "first", "h.s_id", *[_swapped(F.col(f"h.{c}"), back).alias(c) for c in ("left", "match", "right")])
 
 
 @query(TOK + "SELECT text_id, s_no, i, word AS form, lemma, CASE WHEN pos <> 'WORD' THEN pos END AS pos FROM att")
-def token_display_all(spark, sf_dir):
-    """:func:`token_display` of all tokens of all lines; slashes and per cent signs of the form are escaped while it is shown."""
+def token_display(spark, sf_dir):
+    """All tokens as ``form/lemma/pos`` and back; one tag stands for an undefined value; slashes and
+    per cent signs of the form are escaped while it is shown."""
     rows = C.tokens(_sentences(spark, sf_dir, "lemma", "pos"), ("word", "lemma", "pos"))
     escaped = F.replace(F.replace("word", F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F"))
     shown = F.concat_ws("/", escaped, "lemma", F.when(F.col("pos") == "WORD", "__UNDEF__").otherwise(F.col("pos")))
@@ -414,8 +412,12 @@ def display_names(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from . import more  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import more  # noqa: F401
+
     return dict(_SQL)

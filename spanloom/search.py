@@ -32,8 +32,16 @@ class Search:
     queries: list[dict]
     cells: DataFrame | None = None
     selected: dict[str, list[str]] = field(default_factory=dict)
-    max_hits: int | None = None
+    max_hits: int | None = 2000
     sort_by: str = "position"
+    #: For another language its sentences and their alignment, see :func:`match.aligned_rows`.
+    others: dict[str, tuple[DataFrame, DataFrame]] = field(default_factory=dict)
+    corpus: str = "corpus"
+    regions: dict | None = None
+
+    def __post_init__(self) -> None:
+        if "headword" in (self.regions or {}):
+            self.sort_by = concordance.search_order(self.queries, self.sort_by)
 
     def hits(self) -> DataFrame:
         if not cqp.may_search(self.queries):
@@ -41,7 +49,12 @@ class Search:
         rows = self.sentences if self.cells is None else metadata.restrict(self.sentences, self.cells, self.selected)
         texts = [cqp.with_tones(q["query"], q.get("lang", "")) for q in self.queries]
         texts = [cqp.with_headword(t) if q.get("headword_search") else t for t, q in zip(texts, self.queries, strict=True)]
-        return match.match_any(rows, texts) if len(texts) > 1 else match.match(rows, texts[0])
+        if len({q.get("lang") for q in self.queries}) > 1:
+            aligned = cqp.aligned(self.corpus, [{**q, "query": t} for q, t in zip(self.queries, texts, strict=True)])
+            return match.aligned_rows(rows, self.others, aligned)
+        found = match.match_any(rows, texts, regions=self.regions) if len(texts) > 1 else match.match(rows, texts[0], self.regions)
+        region = (self.regions or {}).get("headword")
+        return concordance.with_headword_len(found, region) if region else found
 
     def run(self, step: int = 1, size: int = concordance.PAGE) -> DataFrame | int:
         """Step 1 gives the first page's rows, steps 2 and 3 counts."""

@@ -21,6 +21,11 @@ def corpus_code(filename: str) -> str:
 def categories(spark: SparkSession, path: str, existing: DataFrame | None = None) -> DataFrame:
     """(position, short_name, name, category_type, value_type) of a tab-separated category file."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("position", "line"))
+    return read_categories(lines, existing)
+
+
+def read_categories(lines: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """The same of lines (position, line)."""
     cell = lambda k: F.nullif(F.trim(F.get(F.split("line", "\t"), F.lit(k))), F.lit(""))
     rows = lines.select(
         "position", cell(0).alias("short_name"), F.coalesce(cell(1), F.initcap(cell(0))).alias("name"), F.coalesce(cell(2), F.lit("list")).alias("category_type"), F.coalesce(cell(3), F.lit("text")).alias("value_type"),
@@ -36,8 +41,19 @@ def values(spark: SparkSession, path: str, columns: list[str], speech: bool = Fa
     if "tid" not in columns:
         raise ValueError("a tid column is required")
     lines = spark.read.text(path) if encoding.lower().replace("-", "") == "utf8" else recoded(spark, path, encoding)
-    line = F.regexp_replace("value", r"\\\t", " ") if speech else F.col("value")
-    cells = F.split(line, "\t", -1)
+    return read_values(lines, columns, speech)
+
+
+def read_values(lines: DataFrame, columns: list[str], speech: bool = False) -> DataFrame:
+    """The same of lines (value)."""
+    if "tid" not in columns:
+        raise ValueError("a tid column is required")
+    # the escaped tab stands in for one that would end the cell; in bounds it is read as a blank
+    line = F.replace("value", F.lit("\\\t"), F.lit("\x00")) if speech else F.col("value")
+    cells = F.transform(F.split(line, "\t", -1), lambda x: F.replace(x, F.lit("\x00"), F.lit("\\\t"))) if speech else F.split(line, "\t", -1)
+    if speech and "bounds" in columns:
+        at = columns.index("bounds")
+        cells = F.transform(cells, lambda x, k: F.when(k == at, F.replace(x, F.lit("\\\t"), F.lit(" "))).otherwise(x))
     clean = [F.when(~F.trim(F.get(cells, F.lit(k))).isin("", r"\N"), F.trim(F.get(cells, F.lit(k)))).alias(c) for k, c in enumerate(columns)]
     return lines.where("value <> ''").select(*clean)
 

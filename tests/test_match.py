@@ -97,3 +97,41 @@ def test_scalars(spark):
     row = spark.createDataFrame([("{{<s_id 1>went>", "12abc", "yes", "ma1 hao3 lou2")], "a string, b string, c string, d string")
     r = row.select(T.braces_inside(F.col("a")).alias("a"), T.to_integer(F.col("b")).alias("b"), T.searched_boolean(F.col("c")).alias("c"), T.pinyin(F.col("d")).alias("d"), T.clock(F.lit(75.25)).alias("e")).first()
     assert tuple(r) == ("<s_id 1>{{went>", 12, True, "mā hǎo lóu", "1.15.2")
+
+
+def test_anchors_reach_the_region(micro):
+    region = {"headword": (F.lit(0), F.lit(2))}
+    assert spans(M.match(micro, '<headword> [word="a"] []{0,} </headword>', region)) == [(1, 1, 0, 2), (2, 2, 0, 2)]
+    assert spans(M.match(micro, '[word="b"] within headword', region)) == [(1, 1, 1, 1), (2, 0, 0, 0), (2, 2, 2, 2)]
+    assert spans(M.match_any(micro, ['<s> [word="a"]', '[word="x"]'])) == [(1, 1, 0, 0), (2, 0, 1, 1), (2, 2, 0, 0), (2, 2, 1, 1)]
+    assert spans(M.match(micro, '(<s> [word="a"]) within s | ([word="x"]) within s')) == spans(M.match_any(micro, ['<s> [word="a"]', '[word="x"]']))
+    with pytest.raises(QueryError):
+        M.match(micro, '[word="a"] within nothing')
+    many = " ".join(f'[word="w{k}|b"]?' for k in range(9))
+    assert spans(M.match(micro, f'[word="x"] {many} [word="c"]')) == [(2, 2, 1, 3)]
+
+
+def test_aligned_rows(micro):
+    pairs = micro.sparkSession.createDataFrame([(1, s, 2, s) for s in range(3)], "text_id long, s_no int, other_text_id long, other_s_no int")
+    one, two = micro.where("text_id = 1"), micro.where("text_id = 2")
+    found = M.aligned_rows(one, {"no": (two, pairs), "ru": (two, pairs)}, '"is" :RUN_NO "x" :RUN_RU []')
+    assert [(r.s_no, r.first, r.word_ru) for r in found.collect()] == [(0, 1, "b x y c b c".split())]
+    search = Search(one, [{"lang": "en", "query": '"is"'}, {"lang": "no", "query": '"zzz"'}], others={"no": (two, pairs)})
+    assert search.hits().collect() == []
+
+
+def test_runs_over_buckets(micro):
+    keys = [(k, "abb"[k // 7 % 3]) for k in range(0, 100, 3)]
+    got = D.runs(micro.sparkSession.createDataFrame(keys, "line_key long, basename string"), bucket=5).orderBy("line_key_begin").collect()
+    starts = [(k, b) for (k, b), (_, before) in zip(keys, [(0, None), *keys[:-1]], strict=True) if b != before]
+    ends = [k - 1 for k, _ in starts[1:]] + [99]
+    assert [(r.line_key_begin, r.line_key_end, r.basename) for r in got] == [(k, e, b) for (k, b), e in zip(starts, ends, strict=True)]
+
+
+def test_stream_ingest(spark, tmp_path):
+    from spanloom.streaming import ingest as stream
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.tsv").write_text("t1\ten\nt2\t\\N\nt1\ten\n")
+    stream.append(stream.metadata_stream(spark, f"{tmp_path}/in", ["tid", "lang"]), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(120)
+    assert sorted((r.tid, r.lang) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("t1", "en"), ("t2", None)]

@@ -27,9 +27,9 @@ def test_against_duckdb(spark, data, name):
     assert ours == sorted((_row([r[i] for i in at]) for r in cursor.fetchall()), key=str)
 
 
-def test_token_display_all(spark, tmp_path):
+def test_token_display(spark, tmp_path):
     """Every token of every line, also after the third and with slashes or without letters."""
     texts = {1: "a b c d\n\nand/or 5% %2F ... Éa", 2: "", 3: None, 4: "/ // x"}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.text_id, r.s_no, r.i): r.form for r in registry.queries()["token_display_all"](spark, str(tmp_path)).collect()}
+    got = {(r.text_id, r.s_no, r.i): r.form for r in registry.queries()["token_display"](spark, str(tmp_path)).collect()}
     assert got == {(k, n, i): w for k, t in texts.items() for n, line in enumerate((t or "").split("\n")) for i, w in enumerate(line.split())}
