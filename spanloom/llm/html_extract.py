@@ -3,7 +3,8 @@
 A page is read as a sequence of words and tags.  A word's score is the log-odds of
 being content, learned by logistic regression from labelled pages: a weight for
 each element name and each word of its class, id or role attribute, summed over
-the elements that are open.  Positive words score up to 1, words that look like
+the elements that are open, and one each for the length of the run of text and for
+whether it reads as sentences.  Positive words score up to 1, words that look like
 boilerplate slightly below 0, tags negative.  A linear scan finds the contiguous
 region with the greatest sum; its blocks with a positive mean are the text, and so
 are such blocks outside it that stand in the same content container, however much
@@ -19,7 +20,10 @@ Scripts, styles, templates, titles, frames, drawings, text areas and choices are
 with all they hold; what noscript, object, canvas and math hold is read as any mark-up.
 
 Edge cases: null and empty html give an empty text; unclosed elements and cut
-pages are read as far as they go; without any positive word the text is empty.
+pages are read as far as they go; without any positive word the text is empty.  Of
+regions with equal sums the first is taken.  Repeated rows are read each; an empty table
+gives an empty one; other columns are not read, whatever their names.  A page whose
+article is itself named as a comment or a notice is taken for one.
 """
 
 from __future__ import annotations
@@ -27,7 +31,9 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -64,67 +70,81 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(words))
 
 
-def scan(page: str) -> Iterator[tuple[str | None, tuple, bool | None]]:
-    """The page as (text, open elements' names, False) and (None, names, whether it breaks a block; None: a line only)."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    chain: tuple = ()
-    at = 0
+@dataclass(slots=True)
+class _Open:
+    """An open element with what its ancestors add up to: the log-odds of its words and its content container."""
+
+    tag: str
+    names: tuple[str, ...]
+    score: float
+    outer: int  # the outermost element around that is learned as content and may be a container
+    inner: int  # the innermost one that may be a container
+
+
+def scan(page: str, weights: dict[str, float]) -> Iterator[tuple[str | None, list[_Open], bool | None]]:
+    """The page as (text, open elements, False) and (None, open elements, whether it breaks a block; None: a line only).
+
+    The list of open elements is one and the same and changes.  Each tag is looked at a bounded
+    number of times and an end tag that nothing has opened not at all, so the time is linear in the page.
+    """
+    stack = [_Open("", (), weights.get("", 0.0), 0, 0)]
+    opened: Counter[str] = Counter()
+    number = at = 0
+
+    def close(k: int) -> None:
+        opened.subtract(e.tag for e in stack[k:])
+        del stack[k:]
+
+    def close_last(tag: str) -> None:
+        """Ends the innermost ``tag`` with no block in it."""
+        k = len(stack) - 1
+        while opened[tag] and k and stack[k].tag != tag and stack[k].tag in _INLINE:
+            k -= 1
+        if k and stack[k].tag == tag:
+            close(k)
+
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            yield page[at : m.start()], chain, False
+            yield page[at : m.start()], stack, False
         at = m.end()
         if not m[3]:
             if m[1]:
-                yield None, chain, True
+                yield None, stack, True
             continue
         tag = m[3].lower()
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
         elif tag not in _VOID:
             if tag in _CLOSES_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        del stack[k:]
-                        break
-                    if stack[k][0] not in _INLINE:
-                        break
+                close_last("p")
             if tag in _SAME:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-                    if stack[k][0] not in _INLINE:
-                        break
+                close_last(tag)
             if tag != "math" or not m[4].endswith("/"):
-                stack.append((tag, _names(tag, m[4]) if m[4] else (tag,)))
-        chain = tuple(names for _, names in stack)
-        yield None, chain, None if tag == "br" else tag not in _INLINE
+                number += 1
+                names, around = _names(tag, m[4]) if m[4] else (tag,), stack[-1]
+                own = sum(weights.get(name, 0.0) for name in names)
+                outer = around.outer or (number if tag in _HOLDERS and tag not in ("html", "body") and own > 0 else 0)
+                stack.append(_Open(tag, names, around.score + own, outer, number if tag in _HOLDERS else around.inner))
+                opened[tag] += 1
+        yield None, stack, None if tag == "br" else tag not in _INLINE
     if at < len(page):
-        yield page[at:], chain, False
+        yield page[at:], stack, False
 
 
-def _container(chain: tuple, weights: dict[str, float]) -> tuple | None:
-    """The content container around a block with the open elements ``chain``, by identity of its names."""
-    held = [names for names in chain if names[0] in _HOLDERS]
-    for names in held:
-        if names[0] not in ("html", "body") and sum(weights.get(name, 0.0) for name in names) > 0:
-            return names
-    return held[-1] if held else None
+def _shape(text: str, words: int) -> tuple[str, str]:
+    """What a run of text is known by besides its elements: its length, and whether it reads as sentences."""
+    return f"#{min(words, 64).bit_length()}", "#sentence" if words > 3 and ("." in text or "," in text) else "#bare"
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """The main text of a page."""
     if not page:
         return ""
-    bias = weights.get("", 0.0)
-    scores: dict[tuple, float] = {}
-    blocks: list[tuple[list[str], float, tuple]] = []  # texts, sum of log-odds, open elements at the first word
+    blocks: list[tuple[list[str], float, int]] = []  # texts, sum of log-odds, content container (0: none) at the first word
     sequence: list[tuple[float, int]] = []  # score, block
     texts: list[str] = []
-    total, words, place = 0.0, 0, ()
+    total, words, place = 0.0, 0, 0
 
     def close() -> None:
         nonlocal texts, total, words
@@ -132,7 +152,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
             blocks.append((texts, total, place))
         texts, total, words = [], 0.0, 0
 
-    for text, chain, breaks in scan(page):
+    for text, stack, breaks in scan(page, weights):
         if text is None:
             if breaks:
                 close()
@@ -140,13 +160,11 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
                 texts.append(" ")
             sequence.append((TAG_COST, -1))
             continue
-        s = scores.get(chain)
-        if s is None:
-            s = scores[chain] = bias + sum(weights.get(name, 0.0) for names in chain for name in names)
         texts.append(text)
         n = len(html.unescape(text).split())
         if n:
-            place = place if words else chain
+            s = stack[-1].score + sum(weights.get(name, 0.0) for name in _shape(text, n))
+            place = place if words else stack[-1].outer or stack[-1].inner
             total, words = total + s * n, words + n
             sequence.append((n * (min(s, 1.0) if s > 0 else LOW), len(blocks)))
     close()
@@ -158,8 +176,8 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
         if run > best:
             best, span = run, (start, k + 1)
     inside = {b for _, b in sequence[span[0] : span[1]] if b >= 0 and blocks[b][1] > 0}
-    containers = {id(_container(blocks[b][2], weights)) for b in inside}
-    chosen = [b for b, (_, score, chain) in enumerate(blocks) if b in inside or inside and score > 0 and id(_container(chain, weights)) in containers]
+    containers = {blocks[b][2] for b in inside}
+    chosen = [b for b, (_, score, held) in enumerate(blocks) if b in inside or inside and score > 0 and held in containers]
     out = [" ".join(html.unescape("".join(blocks[b][0])).split()) for b in chosen]
     return "\n\n".join(t for t in out if t)
 
@@ -174,12 +192,17 @@ _BOILERPLATE = [
 ]
 
 
+#: The boilerplate among these that holds whole sentences.
+_LONG = frozenset(["comments", "comment", "comment-list", "replies", "disqus", "respond", "cookie", "cookie-notice", "notice", "consent", "related", "recommended", "newsletter", "promo", "sponsored", "advert", "advertisement", "copyright"])
+
+
 def labelled_pages(count: int = 600, seed: int = 3) -> Iterator[tuple[str, list[bool]]]:
     """Pages with, for each of their text runs in order, whether it is content."""
     rng = random.Random(seed)
 
     def text(n: int) -> str:
-        return " ".join("".join(rng.choice("aeiorstnl") for _ in range(rng.randint(2, 8))) for _ in range(n))
+        words = ["".join(rng.choice("aeiorstnl") for _ in range(rng.randint(2, 8))) for _ in range(n)]
+        return " ".join(w + rng.choice([".", ",", *[""] * 7]) for w in words) if n > 3 and rng.random() < 0.9 else " ".join(words)
 
     def attribute(name: str) -> str:
         return f' {rng.choice(["class", "class", "id", "role"])}="{name}"' if name else ""
@@ -193,7 +216,8 @@ def labelled_pages(count: int = 600, seed: int = 3) -> Iterator[tuple[str, list[
             for _ in range(rng.randint(1, 3)):
                 tag = inner or rng.choice(["p", "div", "span", "li", "a", "h3", "p", ""])
                 parts.append(f"<{tag}>" if tag else "")
-                parts.append(text(rng.randint(1, 12)))
+                # comments, notices and teasers are as long as articles' paragraphs
+                parts.append(text(rng.randint(8, 40) if rng.random() < (0.5 if name in _LONG or element == "aside" else 0.1) else rng.randint(1, 12)))
                 marks.append(content)
                 parts.append(f"</{tag}>" if tag else "<br>")
             parts.append(f"</{element}>")
@@ -201,6 +225,8 @@ def labelled_pages(count: int = 600, seed: int = 3) -> Iterator[tuple[str, list[
         for _ in range(rng.randint(1, 4)):
             put(*rng.choice(_BOILERPLATE), False)
         element, name = rng.choice(_CONTENT)
+        if rng.random() < 0.3:  # a name that says nothing
+            name = rng.choice(["", "x", "wrap", "c", "box", "row"])
         parts.append(f"<{element}{attribute(name)}>")
         if rng.random() < 0.7:
             parts.append(f"<h1>{text(6)}</h1>")
@@ -227,9 +253,9 @@ def learned_weights(count: int = 1200, steps: int = 300, decay: float = 2e-4) ->
     index: dict[str, int] = {"": 0}
     rows, labels = [], []
     for page, marks in labelled_pages(count):
-        runs = [chain for text, chain, _ in scan(page) if text is not None]
-        for chain, mark in zip(runs, marks, strict=True):
-            rows.append([0] + [index.setdefault(name, len(index)) for names in chain for name in names])
+        runs = [[*(name for e in stack for name in e.names), *_shape(text, len(text.split()))] for text, stack, _ in scan(page, {}) if text is not None]
+        for names, mark in zip(runs, marks, strict=True):
+            rows.append([0] + [index.setdefault(name, len(index)) for name in names])
             labels.append(mark)
     width = np.array([len(r) for r in rows])
     at, flat = np.repeat(np.arange(len(rows)), width), np.concatenate(rows)
