@@ -14,7 +14,8 @@ more memory than another; its text comes in several parts, numbered by seq.
 
 Edge cases: null text, role and turn read as an empty text, an empty role and
 first in order; repeated turns stay, ordered by turn, role and text; a null
-conv_id is a conversation of its own.
+conv_id is a conversation of its own; an empty table gives an empty one.  Other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -99,16 +100,16 @@ def format_turns(conversations: DataFrame) -> DataFrame:
         for batch in batches:
             column, lo, hi = assemble(batch.column(1), batch.column(2))
             ids = batch.column(0)
-            key = np.asarray(pc.fill_null(ids, -(1 << 62)))
+            key, null = np.asarray(pc.fill_null(ids, 0)), np.asarray(ids.is_null())
             new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
+            new[1:] = (key[1:] != key[:-1]) | (null[1:] != null[:-1])
             if len(key):
-                new[0] = last is None or key[0] != last
+                new[0] = last != (key[0], null[0])
             begin = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
             seq = np.arange(len(key)) - begin
             seq = np.where(begin < 0, np.arange(len(key)) + count, seq)
             if len(key):
-                last, count = key[-1], int(seq[-1]) + 1
+                last, count = (key[-1], null[-1]), int(seq[-1]) + 1
             yield pa.RecordBatch.from_arrays([ids, pa.array(seq.astype(np.int64)), column.cast(pa.string()), pa.array(lo), pa.array(hi)], names=["conv_id", "seq", "formatted", "loss_start", "loss_end"])
 
     return ordered.select("conv_id", "role", "text").mapInArrow(scratch.lean(run), "conv_id long, seq long, formatted string, loss_start long, loss_end long")
@@ -116,8 +117,10 @@ def format_turns(conversations: DataFrame) -> DataFrame:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Per conversation, from the formatted parts alone: conv_id, n_turns, turns_sha256,
-    loss_chars, loss_sha256, formatted_chars.  Digests grow part by part."""
-    ordered = formatted.select("conv_id", "seq", "formatted", "loss_start", "loss_end")
+    loss_chars, loss_sha256, formatted_chars.  The parts may come in any order, as from a
+    stored table; digests grow part by part."""
+    parts = formatted.select("conv_id", "seq", "formatted", "loss_start", "loss_end")
+    ordered = parts.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_id, state = None, None
@@ -128,9 +131,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
         for batch in batches:
             done = []
-            ids, seqs, texts, starts, ends = (batch.column(i).to_pylist() for i in range(5))
-            for conv, seq, text, start, end in zip(ids, seqs, texts, starts, ends, strict=True):
-                if seq == 0:
+            ids, _, texts, starts, ends = (batch.column(i).to_pylist() for i in range(5))
+            for conv, text, start, end in zip(ids, texts, starts, ends, strict=True):
+                if state is None or conv != open_id:
                     if state is not None:
                         done.append(row())
                     open_id, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
