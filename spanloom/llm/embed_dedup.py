@@ -13,7 +13,11 @@ Equal vectors of a label are one member with a multiplicity, so a third of all
 rows being one vector costs nothing.  A block pair returns, for each vector,
 its number of links and its component within the pair: never the pairs.
 
-Edge cases: a null label or a vector that is null, zero, or holds null or
+Rows that repeat a vec_id stay separate vectors, with their own links; their ids tie as one
+number, so each of them is kept if that number is its component's least.  An empty table gives an
+empty one.  Other columns are not read, whatever their names.
+
+Edge cases: a null vec_id, a null label or a vector that is null, zero, or holds null or
 non-finite components links with nothing (n_links 0, component itself).
 """
 
@@ -44,19 +48,19 @@ def _rows(binary) -> np.ndarray:
 
 
 def _valid(embeddings: DataFrame) -> DataFrame:
-    """Rows that may link: (vec_id, label, vector as the bytes of float64)."""
+    """(vec_id, label, vector as the bytes of float64) of every row; vector is null where it cannot link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, labels, out = [], [], []
-            for i, label, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                v = vector.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                if len(v) and np.isfinite(v).all() and v.any():
-                    ids.append(i), labels.append(label), out.append((v + 0.0).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(out, pa.binary())], names=["vec_id", "label", "vector"])
+            out = []
+            for i, label, vector in zip(batch.column(0).is_valid(), batch.column(1).is_valid(), batch.column(2), strict=True):
+                usable = i.as_py() and label.as_py() and vector.is_valid
+                v = vector.values.to_numpy(zero_copy_only=False).astype(np.float64) if usable else np.zeros(0)
+                out.append((v + 0.0).tobytes() if len(v) and np.isfinite(v).all() and v.any() else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["vec_id", "label", "vector"])
 
-    known = embeddings.where("label is not null and embedding is not null and vec_id is not null")
-    return known.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding").mapInArrow(scratch.lean(run), "vec_id long, label string, vector binary")
+    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding")
+    return rows.mapInArrow(scratch.lean(run), "vec_id long, label string, vector binary")
 
 
 def axes(members: DataFrame) -> dict[int, np.ndarray]:
@@ -120,8 +124,8 @@ def embedding_components(embeddings: DataFrame, cosine: float = 0.98, lead: int
     spark = embeddings.sparkSession
     eps = math.sqrt(2 - 2 * cosine)
     valid = scratch.save(_valid(embeddings), "vectors")
-    classes = valid.groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    classes = scratch.save(classes, "classes")
+    classes = valid.where("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes = scratch.save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # as vec_ids may repeat
     rotate = axes(classes)
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,12 +168,16 @@ def embedding_components(embeddings: DataFrame, cosine: float = 0.98, lead: int
     blocks = scratch.save(ordered.mapInPandas(cut, "label string, block long, lo array<double>, hi array<double>, ids binary, copies binary, vectors binary"), "blocks")
     boxes = blocks.select("label", "block", "lo", "hi")
 
-    # blocks meet in the eps-wide strips of the first principal dimension that both touch
-    strips = boxes.withColumn("strip", F.explode(F.sequence(F.floor((F.col("lo")[0]) / eps), F.floor(F.col("hi")[0] / eps) + 1)))
-    left = strips.select("label", "strip", *[F.col(c).alias(f"{c}_a") for c in ("block", "lo", "hi")])
-    right = strips.select("label", "strip", *[F.col(c).alias(f"{c}_b") for c in ("block", "lo", "hi")])
+    # blocks meet in the eps-wide strips of the first two principal dimensions that both touch
+    strips = boxes
+    for k in range(min(lead, 2)):
+        here = F.sequence(F.floor(F.get("lo", F.lit(k)) / eps), F.floor(F.get("hi", F.lit(k)) / eps) + 1)
+        strips = strips.withColumn(f"strip{k}", F.explode(F.coalesce(here, F.array(F.lit(0).cast("long")))))
+    keys = ["label", *[f"strip{k}" for k in range(min(lead, 2))]]
+    left = strips.select(*keys, *[F.col(c).alias(f"{c}_a") for c in ("block", "lo", "hi")])
+    right = strips.select(*keys, *[F.col(c).alias(f"{c}_b") for c in ("block", "lo", "hi")])
     gap = F.aggregate(F.zip_with(F.zip_with("lo_a", "hi_b", lambda x, y: x - y), F.zip_with("lo_b", "hi_a", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0.0), x, y)), F.lit(0.0), lambda s, x: s + x * x)
-    pairs = left.join(right, ["label", "strip"]).where("block_a <= block_b").where(gap <= eps * eps * (1 + 1e-9) + 1e-12).select("block_a", "block_b").distinct()
+    pairs = left.join(right, keys).where("block_a <= block_b").where(gap <= eps * eps * (1 + 1e-9) + 1e-12).select("block_a", "block_b").distinct()
     content = [F.col("ids"), F.col("copies"), F.col("vectors")]
     work = pairs.join(blocks.select(F.col("block").alias("block_b"), F.struct(*content).alias("b")), "block_b")
     work = work.join(blocks.select(F.col("block").alias("block_a"), F.struct(*content).alias("a")), "block_a")
@@ -208,11 +216,10 @@ def embedding_components(embeddings: DataFrame, cosine: float = 0.98, lead: int
     edges = found.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     comp = scratch.save(linking.components(edges), "components")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    of_class = classes.join(counts, "id", "left").join(comp, "id", "left").select(
-        "label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("comp", "id").alias("component_id")
-    )
-    linked = valid.join(of_class, ["label", "vector"]).select("vec_id", "n_links", "component_id").dropDuplicates(["vec_id"])
-    every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id")).join(linked, "vec_id", "left")
+    linked = classes.select("id", "label", "vector", "least", "copies").join(counts, "id", "left").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    named = linked.groupBy("comp").agg(F.min("least").alias("component_id"))
+    of_class = linked.join(named, "comp").select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    every = valid.join(of_class, ["label", "vector"], "left")
     return every.select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
-    ).withColumn("kept", F.col("component_id") == F.col("vec_id"))
+    ).withColumn("kept", F.col("component_id").eqNullSafe(F.col("vec_id")))
