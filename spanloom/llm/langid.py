@@ -12,7 +12,11 @@ Training is backpropagation through time with Adam on a bounded sample:
 windows.  Every document is predicted from its whole text.
 
 Edge cases: text that is null or has no letter is ``und`` with score 0; if there
-is nothing to learn from, every text is.
+is nothing to learn from, every text is.  Rows that repeat a doc_id are judged each by its own
+text, and one of them (least language, then text) is learned from.  Languages of equal
+probability: the first in alphabetical order.  An empty table gives an empty one.  Other columns
+are not read, whatever their names.  The sample to learn from is bounded: ``max_rows`` documents
+of ``max_chars`` characters each; what is predicted is read whole.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import scratch, texthash
 
-WINDOW, HIDDEN, MAX_ROWS, MAX_WINDOWS = 24, 12, 3_000, 60_000
+WINDOW, HIDDEN, MAX_ROWS, MAX_WINDOWS, MAX_CHARS = 24, 12, 3_000, 60_000, 20_000
 _LETTER = re.compile(r"[^\W\d_]")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -205,14 +209,17 @@ def fit(texts: list[str], languages: list[str], max_windows: int = MAX_WINDOWS,
     return model
 
 
-def train(docs: DataFrame, allowed: Column | None = None, max_rows: int = MAX_ROWS, **options) -> Network | None:
+def train(docs: DataFrame, allowed: Column | None = None, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, **options) -> Network | None:
     """Learns from (text, lang) of a bounded sample of ``docs``; ``allowed``: a condition on doc_id."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where("doc_id is not null and lang is not null and text is not null")
     if allowed is not None:
         known = known.where(allowed)
     chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # the sample is drawn by id first, so that texts are not sorted
-    rows = known.join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "lang", "text"]).head(max_rows)
+    # the sample is drawn by id first, so that whole texts are not sorted; of an id's rows one is taken,
+    # and what comes to the driver has at most max_rows * max_chars characters
+    cut = known.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", F.substring("text", 1, max_chars).alias("text"))
+    rows = cut.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.*").limit(max_rows).toPandas().sort_values("doc_id")
     return fit(rows["text"].tolist(), rows["lang"].tolist(), **options) if len(rows) else None
 
 
