@@ -11,7 +11,11 @@ are sent to the tasks in portions of at most ``MAX_CHARS`` characters, each with
 pass of its own, so that a large benchmark costs time and not memory.
 
 Edge cases: null or empty texts and items match nothing; equal items are all
-reported; rows that repeat a doc_id are reported each.
+reported; rows that repeat a doc_id are reported each.  An item is searched whatever its
+length: one of a character or two is found in nearly every text, so leave such items out of
+the table if that is not meant.  Of several occurrences with the least distance the first is
+reported.  An empty table of documents gives an empty one, without items nothing is found; other
+columns of either table come through or are not read, whatever their names.
 """
 
 from __future__ import annotations

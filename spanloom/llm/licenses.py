@@ -7,7 +7,9 @@ same form.  No pattern is searched for, so the cost does not depend on the
 number of known texts.
 
 Edge cases: null and empty texts, and those that are all punctuation, have no
-digest and match nothing.  Repeated rows are reported each.
+digest and match nothing.  Repeated rows are reported each.  Of several licences with one
+digest the first by name is reported.  An empty table gives an empty one; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ distributed union-find, and of each component only the line that comes first
 (least doc_id, then line number) stays.
 
 Edge cases: null or empty text has no lines and stays as it is.  Rows that
-repeat a doc_id count as the same document: their n-th lines stay or go together.
+repeat a doc_id count as the same document: their n-th lines stay or go together.  Ties
+between lines are settled by doc_id (null last) and line number.  An empty table gives an
+empty one; other columns come through unchanged, whatever their names.
 """
 
 from __future__ import annotations

@@ -17,7 +17,9 @@ lengths, two more runs for each sweep), never rows; the pieces themselves stay
 distributed and are placed by their rank without another shuffle.
 
 Edge cases: null text is empty, an empty document is the separator alone; rows
-that repeat a doc_id are packed as separate documents.
+that repeat a doc_id are packed as separate documents.  Pieces of equal length are ranked by
+task and place in it, gaps of equal size by sequence number.  An empty table gives an empty
+one; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
