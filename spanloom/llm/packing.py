@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-LENGTH, END, CACHE = 2048, 0, 200_000
-_MARKS, _ENDS = b".,!?;:%$#&*|", frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+LENGTH, END, CACHE = 2048, 0, 300_000
+_BEHIND = re.compile(rb"(?<=[a-z0-9])([.,!?;:%$#&*|]+)(?=[\x20\x09-\x0d]|\Z)")
 
 
 #: The steps of a vocabulary that is blind to case and joins nothing across white space.
@@ -51,9 +52,8 @@ class WordTokenizer:
     """Ids of texts by a vocabulary file.
 
     If the file names the steps above, words are encoded once and remembered, up to
-    ``cache`` of them; a full memory keeps the words in use.  A word that ends in plain
-    punctuation behind a letter or digit is its stem and that punctuation, which the
-    vocabulary never joins either.  Words of letters alone are encoded many at a time: each
+    ``cache`` of them; a full memory keeps the words in use.  Plain punctuation at a word's end,
+    behind a letter or digit, is a word of its own, as the vocabulary never joins it either.  Words of letters alone are encoded many at a time: each
     gives one piece that ends in an id whose token has the suffix of a word's end.
     With any other file, whole texts are encoded as they are.
     """
@@ -96,21 +96,13 @@ class WordTokenizer:
         """Little-endian unsigned 32-bit ids of each UTF-8 text, without special tokens."""
         if not self.by_word:
             return [np.array(code.ids, "<u4").tobytes() for code in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-        split = [t.lower().split() for t in texts]  # A-Z only; at 0x20, 0x09-0x0d
+        split = [_BEHIND.sub(rb" \1", t.lower()).split() for t in texts]  # A-Z only; at 0x20, 0x09-0x0d
         words = set().union(*split)
         new = words - self.known.keys()
         if len(self.known) + len(new) > self.cache:
             self.known = {w: self.known[w] for w in words - new}
-        parts = {}
-        for word in new:
-            stem = word.rstrip(_MARKS)
-            if stem and len(stem) < len(word) and stem[-1] in _ENDS and b"<|" not in word:
-                parts[word] = stem, word[len(stem) :]
-        whole = new - parts.keys()
-        self._learn(list((whole | {p for pair in parts.values() for p in pair}) - self.known.keys()))
+        self._learn(list(new))
         known = self.known
-        for word, (stem, marks) in parts.items():
-            known[word] = known[stem] + known[marks]
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -131,7 +123,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
         seen = np.zeros(length + 1, np.int64)
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            rows = 256
+            rows = 512
             for lo in range(0, len(batch), rows):
                 coded = tokenizer.encode([t.as_py() or b"" for t in texts.slice(lo, rows)])
                 at, piece, start, size, crc = [], [], [], [], []
