@@ -165,9 +165,18 @@ def _bands(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.select("text").mapInArrow(scratch.lean(run), "sig long, id long")
 
 
-def _texts(docs: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, bytes) of the lines in ``ids``, a saved table; a line may come from several tasks."""
+    chosen = linking.few(ids)
+    shared = None if chosen is None else docs.sparkSession.sparkContext.broadcast(chosen)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, ids, starts, ends in _distinct_lines(batches):
+            if shared is not None:
+                here = linking.among(signed(ids), shared.value)
+                ids, starts, ends = ids[here], starts[here], ends[here]
+            if not len(ids):
+                continue
             edges = np.zeros(len(part) + 1, np.int8)
             edges[starts] += 1
             edges[ends] -= 1
@@ -176,7 +185,8 @@ def _texts(docs: DataFrame) -> DataFrame:
             lines = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(inside.tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(signed(ids)), lines.cast(pa.binary())], names=["id", "bytes"])
 
-    return docs.select("text").mapInArrow(scratch.lean(run), "id long, bytes binary")
+    found = docs.select("text").mapInArrow(scratch.lean(run), "id long, bytes binary")
+    return found if shared is not None else found.join(ids, "id", "left_semi")
 
 
 def shingle_set(line: bytes, size: int) -> set[str]:
@@ -217,7 +227,7 @@ def line_components(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, ro
     lines = scratch.save(_line_table(docs), "lines")
 
     def prepare(ids: DataFrame) -> DataFrame:
-        return _texts(docs).join(linking.sized(scratch.save(ids, "ids")), "id", "left_semi").groupBy("id").agg(F.min("bytes").alias("bytes"))
+        return _texts(docs, scratch.save(ids, "ids")).groupBy("id").agg(F.min("bytes").alias("bytes"))
 
     def as_sets(a: list, b: list) -> tuple[list, list]:
         def sets(rows: list) -> list:
