@@ -245,10 +245,11 @@ def least_reachable(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def across(links: DataFrame, comp: DataFrame | None, prepare: Callable[[DataFrame], DataFrame], as_sets: Callable[[list, list], tuple[list, list]], num: int, den: int) -> DataFrame:
+def across(links: DataFrame, comp: DataFrame | None, known: DataFrame | None, prepare: Callable[[DataFrame], DataFrame], as_sets: Callable[[list, list], tuple[list, list]], num: int, den: int) -> DataFrame:
     """Links (a, b) between different components, among ids that candidate links connect.
 
-    ``links``: (a, b).  What they connect forms groups; a group is dealt into blocks of
+    ``links``: (a, b).  ``known``: a saved table of contents, to which only those that it lacks
+    are added.  What the links connect forms groups; a group is dealt into blocks of
     about ``BLOCK`` ids or ``BYTES`` of content by hash, large components by themselves.
     Each pair of its blocks, but those of one component, is one piece of work, which
     streams by as rows and returns the links of a forest over components.
@@ -261,9 +262,14 @@ def across(links: DataFrame, comp: DataFrame | None, prepare: Callable[[DataFram
     members = scratch.save(groups, "grouped")
     several = scratch.save(members.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("grp"), "several")
     members = members.join(sized(several), "grp")
-    prepared = prepare(members.select("id"))
-    column = [c for c in prepared.columns if c != "id"][0]
-    prepared = scratch.save(prepared.select("id", F.col(column).alias("content")), "contents")
+    ids = scratch.save(members.select("id"), "members")
+    lacking = ids if known is None else scratch.save(ids.join(known.select("id"), "id", "left_anti"), "lacking")
+    parts = [known.join(sized(ids), "id", "left_semi")] if known is not None else []
+    if known is None or lacking.take(1):
+        parts.append(prepare(lacking))
+    column = [c for c in parts[0].columns if c != "id"][0]
+    contents = [p.select("id", F.col(column).alias("content")) for p in parts]
+    prepared = scratch.save(contents[0] if len(contents) == 1 else contents[0].union(contents[1]), "contents")
     scratch.release(prepared.sparkSession)
     weight = F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BYTES)
     weighed = members.join(prepared.select("id", F.length("content").alias("bytes")), "id").groupBy("grp", "comp").agg(weight.alias("weight"))
@@ -351,11 +357,11 @@ def link(
     pairs = scratch.save(found.where("n > 0").groupBy("x", "y").agg(F.sum("n").alias("n")).where(F.col("n") >= threshold), "pairs")
     # first the one partner of each member with which it shares most signatures
     first = scratch.save(pairs.groupBy("y").agg(F.max_by("x", F.struct("n", -F.col("x"))).alias("x")).select("x", "y"), "first")
+    prepared = None
     if first.take(1):
         prepared = scratch.save(prepare(first.select(F.col("x").alias("id")).union(first.select(F.col("y").alias("id"))).distinct()), "prepared")
         scratch.release(found.sparkSession)
         linked(verify(sized(first), prepared).select(F.col("x").alias("a"), F.col("y").alias("b")))
-        scratch.drop(prepared)
     # then what is left between components: other pairs, and members of large buckets
     rest = pairs.select("x", "y").join(first, ["x", "y"], "left_anti")
     hot = found.where("n = 0").select(F.col("x").alias("sig"), F.col("y").alias("id"))
@@ -380,5 +386,8 @@ def link(
     scratch.drop(found)
     scratch.release(open_links.sparkSession)
     if open_links.take(1):
-        linked(across(open_links, comp, prepare, as_sets, num, den))
+        linked(across(open_links, comp, prepared, prepare, as_sets, num, den))
+    for old in (prepared, first, pairs):
+        if old is not None:
+            scratch.drop(old)
     return comp
