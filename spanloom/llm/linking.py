@@ -359,7 +359,8 @@ def link(
     first = scratch.save(pairs.groupBy("y").agg(F.max_by("x", F.struct("n", -F.col("x"))).alias("x")).select("x", "y"), "first")
     prepared = None
     if first.take(1):
-        prepared = scratch.save(prepare(first.select(F.col("x").alias("id")).union(first.select(F.col("y").alias("id"))).distinct()), "prepared")
+        # of all candidates, as the second comparison needs nearly all of them again
+        prepared = scratch.save(prepare(pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()), "prepared")
         scratch.release(found.sparkSession)
         linked(verify(sized(first), prepared).select(F.col("x").alias("a"), F.col("y").alias("b")))
     # then what is left between components: other pairs, and members of large buckets
