@@ -3,8 +3,7 @@
 A page is read as a sequence of words and tags.  A word's score is the log-odds of
 being content, learned by logistic regression from labelled pages: a weight for
 each element name and each word of its class, id or role attribute, summed over
-the elements that are open, and one each for the length of the run of text and for
-whether it reads as sentences.  Positive words score up to 1, words that look like
+the elements that are open.  Positive words score up to 1, words that look like
 boilerplate slightly below 0, tags negative.  A linear scan finds the contiguous
 region with the greatest sum; its blocks with a positive mean are the text, and so
 are such blocks outside it that stand in the same content container, however much
@@ -132,11 +131,6 @@ def scan(page: str, weights: dict[str, float]) -> Iterator[tuple[str | None, lis
         yield page[at:], stack, False
 
 
-def _shape(text: str, words: int) -> tuple[str, str]:
-    """What a run of text is known by besides its elements: its length, and whether it reads as sentences."""
-    return f"#{min(words, 64).bit_length()}", "#sentence" if words > 3 and ("." in text or "," in text) else "#bare"
-
-
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """The main text of a page."""
     if not page:
@@ -160,10 +154,10 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
                 texts.append(" ")
             sequence.append((TAG_COST, -1))
             continue
+        s = stack[-1].score
         texts.append(text)
         n = len(html.unescape(text).split())
         if n:
-            s = stack[-1].score + sum(weights.get(name, 0.0) for name in _shape(text, n))
             place = place if words else stack[-1].outer or stack[-1].inner
             total, words = total + s * n, words + n
             sequence.append((n * (min(s, 1.0) if s > 0 else LOW), len(blocks)))
@@ -192,17 +186,12 @@ _BOILERPLATE = [
 ]
 
 
-#: The boilerplate among these that holds whole sentences.
-_LONG = frozenset(["comments", "comment", "comment-list", "replies", "disqus", "respond", "cookie", "cookie-notice", "notice", "consent", "related", "recommended", "newsletter", "promo", "sponsored", "advert", "advertisement", "copyright"])
-
-
 def labelled_pages(count: int = 600, seed: int = 3) -> Iterator[tuple[str, list[bool]]]:
     """Pages with, for each of their text runs in order, whether it is content."""
     rng = random.Random(seed)
 
     def text(n: int) -> str:
-        words = ["".join(rng.choice("aeiorstnl") for _ in range(rng.randint(2, 8))) for _ in range(n)]
-        return " ".join(w + rng.choice([".", ",", *[""] * 7]) for w in words) if n > 3 and rng.random() < 0.9 else " ".join(words)
+        return " ".join("".join(rng.choice("aeiorstnl") for _ in range(rng.randint(2, 8))) for _ in range(n))
 
     def attribute(name: str) -> str:
         return f' {rng.choice(["class", "class", "id", "role"])}="{name}"' if name else ""
@@ -216,8 +205,7 @@ def labelled_pages(count: int = 600, seed: int = 3) -> Iterator[tuple[str, list[
             for _ in range(rng.randint(1, 3)):
                 tag = inner or rng.choice(["p", "div", "span", "li", "a", "h3", "p", ""])
                 parts.append(f"<{tag}>" if tag else "")
-                # comments, notices and teasers are as long as articles' paragraphs
-                parts.append(text(rng.randint(8, 40) if rng.random() < (0.5 if name in _LONG or element == "aside" else 0.1) else rng.randint(1, 12)))
+                parts.append(text(rng.randint(1, 12)))
                 marks.append(content)
                 parts.append(f"</{tag}>" if tag else "<br>")
             parts.append(f"</{element}>")
@@ -225,8 +213,6 @@ def labelled_pages(count: int = 600, seed: int = 3) -> Iterator[tuple[str, list[
         for _ in range(rng.randint(1, 4)):
             put(*rng.choice(_BOILERPLATE), False)
         element, name = rng.choice(_CONTENT)
-        if rng.random() < 0.3:  # a name that says nothing
-            name = rng.choice(["", "x", "wrap", "c", "box", "row"])
         parts.append(f"<{element}{attribute(name)}>")
         if rng.random() < 0.7:
             parts.append(f"<h1>{text(6)}</h1>")
@@ -253,7 +239,7 @@ def learned_weights(count: int = 1200, steps: int = 300, decay: float = 2e-4) ->
     index: dict[str, int] = {"": 0}
     rows, labels = [], []
     for page, marks in labelled_pages(count):
-        runs = [[*(name for e in stack for name in e.names), *_shape(text, len(text.split()))] for text, stack, _ in scan(page, {}) if text is not None]
+        runs = [[name for e in stack for name in e.names] for text, stack, _ in scan(page, {}) if text is not None]
         for names, mark in zip(runs, marks, strict=True):
             rows.append([0] + [index.setdefault(name, len(index)) for name in names])
             labels.append(mark)

@@ -289,7 +289,7 @@ def test_html():
     assert html_extract.extract("<p>cut off <b>here", w) == "cut off here"
     good = total = 0
     for page, marks in html_extract.labelled_pages(60, seed=99):
-        runs = [t for t, c, _ in html_extract.scan(page) if t is not None]
+        runs = [t for t, c, _ in html_extract.scan(page, {}) if t is not None]
         text = html_extract.extract(page, w)
         for run, mark in zip(runs, marks, strict=True):
             total += 1
