@@ -240,7 +240,7 @@ def line_components(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, ro
 
         return sets(a), sets(b)
 
-    comp = linking.link(_bands(docs, size, bands, rows), prepare, _verifier(size, num, den), as_sets, num, den)
+    comp = linking.link([_bands(docs, size, bands, rows)], prepare, _verifier(size, num, den), as_sets, num, den)
     firsts = lines.groupBy("line_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")).alias("first"))
     if comp is not None:
         firsts = scratch.save(firsts, "own")

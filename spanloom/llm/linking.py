@@ -12,7 +12,8 @@ partner; blocks of one component are never compared with each other.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -319,7 +320,7 @@ def across(links: DataFrame, comp: DataFrame | None, known: DataFrame | None, pr
 
 
 def link(
-    sigs: DataFrame,
+    sigs: Iterable[DataFrame],
     prepare: Callable[[DataFrame], DataFrame],
     verify: Callable[[DataFrame, DataFrame], DataFrame],
     as_sets: Callable[[list, list], tuple[list, list]],
@@ -331,7 +332,8 @@ def link(
     """Components (id, comp) of the graph of pairs that share ``threshold`` signatures and
     have a Jaccard similarity of num/den or more.
 
-    ``sigs``: (sig, id).  ``prepare`` turns ids into (id, content), which
+    ``sigs``: tables (sig, id), no signature in two of them; one after the other is shuffled
+    and its shuffle files released.  ``prepare`` turns ids into (id, content), which
     ``verify(pairs, prepared)`` joins and ``as_sets`` makes sets of numbers of, for two
     blocks at a time.  Returns None if there is no link.
     """
@@ -352,8 +354,11 @@ def link(
             comp = scratch.save(more, "components")
             scratch.release(new.sparkSession)
 
-    found = scratch.save(candidates(sigs, small, threshold), "candidates")
-    scratch.release(found.sparkSession)
+    passes = []
+    for part in sigs:
+        passes.append(scratch.save(candidates(part, small, threshold), "candidates"))
+        scratch.release(part.sparkSession)
+    found = reduce(DataFrame.union, passes)
     pairs = scratch.save(found.where("n > 0").groupBy("x", "y").agg(F.sum("n").alias("n")).where(F.col("n") >= threshold), "pairs")
     # first the one partner of each member with which it shares most signatures
     first = scratch.save(pairs.groupBy("y").agg(F.max_by("x", F.struct("n", -F.col("x"))).alias("x")).select("x", "y"), "first")
@@ -384,7 +389,8 @@ def link(
     least = scratch.save(hot.groupBy("sig").agg(F.min("id").alias("b")), "least")
     hot = hot.join(sized(least), "sig").select(F.col("id").alias("a"), "b")
     open_links = scratch.save(rest.select(F.col("x").alias("a"), F.col("y").alias("b")).union(hot).where("a <> b").distinct(), "open")
-    scratch.drop(found)
+    for old in passes:
+        scratch.drop(old)
     scratch.release(open_links.sparkSession)
     if open_links.take(1):
         linked(across(open_links, comp, prepared, prepare, as_sets, num, den))

@@ -31,6 +31,10 @@ Refinements that keep this exact and make it cheaper:
 
 Sets are identified by 64-bit digests and compared by 40 bits of each feature's hash.
 
+Signatures take more room than the texts, and the more the smaller the portions they are
+dealt in.  So they are made in ``PASSES`` passes over all texts, each with the signatures
+of one residue, and what a pass has shuffled is deleted before the next but one writes.
+
 Edge cases: a document that is null, empty or without words has n_shingles 0
 and links with nothing; one with fewer words than n is a single n-gram.
 Repeated rows of a document stay separate rows with the same values; a null doc_id
@@ -55,6 +59,7 @@ from .texthash import mix, segment_sums, signed
 
 WIDTH, NUM, DEN, SHARED = 5, 80, 100, 3
 N2, K2 = 3, 1  # second-level partitions, and how many of them a signature leaves out
+PASSES = 3  # over the texts, each with a part of the signatures
 
 
 def _sets(batch: pa.RecordBatch, column: int, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -193,12 +198,15 @@ def signatures(
     return signed(np.concatenate(keep_sig)), np.concatenate(keep_id)
 
 
-def _signature_rows(docs: DataFrame, width: int, num: int, den: int, n2: int, k2: int, common: np.ndarray) -> DataFrame:
+def _signature_rows(docs: DataFrame, width: int, num: int, den: int, n2: int, k2: int, common: np.ndarray, nth: int = 0, passes: int = 1) -> DataFrame:
+    """(sig, id) of the signatures that the pass ``nth`` of ``passes`` takes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, features, per in _sets(batch, 0, width):
                 sig, ids = signatures(features, per, _digest(features, per), num, den, n2, k2, common)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ids)], names=["sig", "id"])
+                mine = (sig.view(np.uint64) >> np.uint64(1)) % np.uint64(passes) == nth
+                yield pa.RecordBatch.from_arrays([pa.array(sig[mine]), pa.array(ids[mine])], names=["sig", "id"])
 
     return docs.select("text").mapInArrow(scratch.lean(run), "sig long, id long")
 
@@ -283,7 +291,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
     def as_sets(a: list, b: list) -> tuple[list, list]:
         return [_unpacked(x) for x in a], [_unpacked(x) for x in b]
 
-    sigs = _signature_rows(docs, width, num, den, n2, k2, common_features(docs, classes.count(), width))
+    common = common_features(docs, classes.count(), width)
+    sigs = (_signature_rows(docs, width, num, den, n2, k2, common, nth, PASSES) for nth in range(PASSES))
     comp = linking.link(sigs, prepare, verifier(num, den), as_sets, num, den, small, SHARED)
     if comp is None:
         comp = docs.sparkSession.createDataFrame([], "id long, comp long")
