@@ -24,7 +24,7 @@ Refinements that keep this exact and make it cheaper:
   the pair is found by its partitions; and of two prefixes similar sets share a feature.
 * Partitions enough that similar sets agree on ``SHARED`` signatures at least (or on
   one of two prefixes); pairs that share fewer are left out.
-* Features that many documents of a sample hold are left out of the domain and
+* Features that many documents hold (counted in all of them) are left out of the domain and
   come last in the order of prefixes.  Sets that differ in at most d features do
   so in any part of the domain, so nothing is lost whatever is left out; what is
   gained is that passages shared by many documents make no signature common.
@@ -60,6 +60,7 @@ from .texthash import mix, segment_sums, signed
 WIDTH, NUM, DEN, SHARED = 5, 80, 100, 3
 N2, K2 = 3, 1  # second-level partitions, and how many of them a signature leaves out
 PASSES = 3  # over the texts, each with a part of the signatures
+GROUP = 1 << 20  # features counted at once
 
 
 def _sets(batch: pa.RecordBatch, column: int, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -211,19 +212,35 @@ def _signature_rows(docs: DataFrame, width: int, num: int, den: int, n2: int, k2
     return docs.select("text").mapInArrow(scratch.lean(run), "sig long, id long")
 
 
-def common_features(docs: DataFrame, count: int, width: int, sample: int = 4_000, share: float = 0.004) -> np.ndarray:
-    """Features of at least ``share`` of about ``sample`` of ``count`` documents, ascending.
+def common_features(docs: DataFrame, count: int, width: int, share: float = 0.004) -> np.ndarray:
+    """Features of about ``share`` of all ``count`` documents or more, ascending; they only make the join faster.
 
-    At most 1 / share of the sample's mean set size; they only make the join faster.
+    All documents are counted, in one pass of lossy counting: a task counts the features of
+    ``GROUP`` to twice as many at once, and leaves out those that fewer than share / 4 of
+    the group's documents hold, or only one.  A feature that is not left out anywhere has its exact count.  At
+    most 4 / (3 * share) of the mean set size are returned.
     """
-    some = docs if count <= sample else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * sample // count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, features, _ in _sets(batch, 0, width):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(features))], names=["f"])
+        group, waiting = [], []  # features, documents
+
+        def counted(parts: list) -> pa.RecordBatch:
+            f, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p for p, _ in parts)]), return_counts=True)
+            often = n >= max(2, share / 4 * sum(d for _, d in parts))
+            return pa.RecordBatch.from_arrays([pa.array(signed(f[often])), pa.array(n[often])], names=["f", "n"])
 
-    counts = some.select("text").mapInArrow(scratch.lean(run), "f long").groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= max(12, int(share * sample)))
+        for batch in batches:
+            for lo, hi, features, _ in _sets(batch, 0, width):
+                group.append((features, hi - lo))
+                if sum(len(f) for f, _ in group) >= GROUP:
+                    if waiting:
+                        yield counted(waiting)
+                    group, waiting = [], group
+        yield counted(waiting + group)
+
+    # tasks of many documents, as each leaves out what is rare in it
+    some = docs.select("text").coalesce(max(1, count // 8_192))
+    counts = some.mapInArrow(scratch.lean(run), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= max(16, 0.75 * share * count))
     return np.sort(np.array([r["f"] for r in counts.select("f").collect()], np.int64).view(np.uint64))
 
 

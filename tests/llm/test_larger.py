@@ -33,3 +33,18 @@ def test_signatures_are_shuffled_in_parts(spark, shuffled):
     assert got == {k: k - 100 if k >= 100 else k for k in range(140)}
     whole = ngram_join._signature_rows(docs, 5, 80, 100, 3, 1, np.zeros(0, np.uint64)).count()
     assert sum(shuffled) == whole and max(shuffled) < 0.4 * whole
+
+
+def test_common_features_are_counted_in_all_documents(spark):
+    # equal ids fall into any choice by id together, or none of them does
+    passage = "the same passage in many of the texts"
+    for doc_id in (1, 2):
+        rows = [(doc_id, f"a{k} b{k} c{k} d{k} e{k}" + (f" {passage}" if k % 50 == 0 else "")) for k in range(6000)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = ngram_join.common_features(docs, 6000, 5)
+        assert len(got) == 4 and (np.diff(got.astype(np.float64)) > 0).all()  # 8 words, 120 of 6,000 documents
+
+
+def test_rare_features_are_not_common(spark):
+    docs = spark.createDataFrame([(k, f"a{k // 10} b c d e") for k in range(6000)], "doc_id long, text string").repartition(3)
+    assert len(ngram_join.common_features(docs, 6000, 5)) == 0
