@@ -166,15 +166,14 @@ def _bands(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, bytes) of the lines in ``ids``, a saved table; a line may come from several tasks."""
-    chosen = linking.few(ids)
-    shared = None if chosen is None else docs.sparkSession.sparkContext.broadcast(chosen)
+    """(id, bytes) of the lines in ``ids``, a saved table, and of a few others if those are many;
+    a line may come from several tasks."""
+    chosen = linking.Among(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, ids, starts, ends in _distinct_lines(batches):
-            if shared is not None:
-                here = linking.among(signed(ids), shared.value)
-                ids, starts, ends = ids[here], starts[here], ends[here]
+            here = chosen(signed(ids))
+            ids, starts, ends = ids[here], starts[here], ends[here]
             if not len(ids):
                 continue
             edges = np.zeros(len(part) + 1, np.int8)
@@ -185,8 +184,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
             lines = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(inside.tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(signed(ids)), lines.cast(pa.binary())], names=["id", "bytes"])
 
-    found = docs.select("text").mapInArrow(scratch.lean(run), "id long, bytes binary")
-    return found if shared is not None else found.join(ids, "id", "left_semi")
+    return docs.select("text").mapInArrow(scratch.lean(run), "id long, bytes binary")
 
 
 def shingle_set(line: bytes, size: int) -> set[str]:

@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .texthash import mix
 
 BLOCK, BYTES, WIDTH, PART = 1024, 4 << 20, 4096, 1 << 20  # members and bytes of a block, columns and numbers handled at once
 ALONE = 250_000  # edges that one task takes
+BITS = 1 << 28  # of a bitmap of ids at most
 
 _OUT = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("n", pa.int32())])
 
@@ -190,21 +192,51 @@ def sized(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
-def few(ids: DataFrame, most: int = 1_000_000) -> np.ndarray | None:
-    """The ids of a saved table, ascending, if it has been counted to hold at most ``most``, else None.
+class Among:
+    """Says of numbers, in any task, whether they are ids of a saved table (id).
 
-    They are sent to all tasks in eight bytes each, where a broadcast join would send rows.
+    Up to ``most`` ids, which are counted, are sent to all tasks in eight bytes each, where a
+    broadcast join would send rows.  More become a bitmap of two places for each id,
+    which also says yes to a few others (of 16 bits for each id about 1 in 70), never no to an id.
     """
-    if ids.limit(most + 1).count() > most:
-        return None
-    return np.unique(np.concatenate([np.zeros(0, np.int64), *(c.to_numpy() for c in ids.select("id").toArrow().column(0).chunks)]))
 
+    def __init__(self, ids: DataFrame, most: int = 1_000_000):
+        self.exact = ids.limit(most + 1).count() <= most
+        if self.exact:
+            found = np.unique(np.concatenate([np.zeros(0, np.int64), *(c.to_numpy() for c in ids.select("id").toArrow().column(0).chunks)]))
+        else:
+            found = _bitmap(ids, min(BITS, 1 << (16 * ids.count() - 1).bit_length()))
+        self.shared = ids.sparkSession.sparkContext.broadcast(found)
 
-def among(values: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Which values are in ``ids``, ascending."""
-    place = np.searchsorted(ids, values)
-    place[place == len(ids)] = 0
-    return ids[place] == values if len(ids) else np.zeros(len(values), bool)
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        known = self.shared.value
+        if not self.exact:
+            return np.logical_and.reduce([known[p >> 3] >> (p & 7).astype(np.uint8) & np.uint8(1) for p in _places(values, 8 * len(known))]).astype(bool)
+        place = np.searchsorted(known, values)
+        place[place == len(known)] = 0
+        return known[place] == values if len(known) else np.zeros(len(values), bool)
+
+
+def _places(values: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Two bits of a bitmap for each value; ``bits`` is a power of two."""
+    mixed = mix(values.view(np.uint64) ^ np.uint64(0x8CB92BA72F3D8DD7))
+    return [(half & np.uint64(bits - 1)).astype(np.int64) for half in (mixed, mixed >> np.uint64(32))]
+
+
+def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
+    """The bytes of a bitmap of the ids' places, put together by Spark in portions of 4,096 bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.concatenate(_places(np.ascontiguousarray(_numbers(batch.column(0))), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(place + 1)], names=["place"])  # Spark's count from 1
+
+    places = ids.select("id").mapInArrow(scratch.lean(run), "place long")
+    portions = places.groupBy(F.expr("bitmap_bucket_number(place)").alias("nth")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bytes"))
+    out = np.zeros(max(bits // 8, 4096), np.uint8)
+    for nth, portion in portions.collect():
+        out[(nth - 1) * 4096 : nth * 4096] = np.frombuffer(portion, np.uint8)
+    return out[: bits // 8]
 
 
 def similar(sets_a: list[np.ndarray], sets_b: list[np.ndarray], num: int, den: int) -> np.ndarray:

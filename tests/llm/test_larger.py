@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanloom.llm import linking, ngram_join, scratch
+from spanloom.llm import line_dedup, linking, ngram_join, scratch
 
 rng = random.Random(7)
 TEXTS = [" ".join(f"w{rng.randrange(500)}" for _ in range(60)) for _ in range(100)]
@@ -48,3 +48,26 @@ def test_common_features_are_counted_in_all_documents(spark):
 def test_rare_features_are_not_common(spark):
     docs = spark.createDataFrame([(k, f"a{k // 10} b c d e") for k in range(6000)], "doc_id long, text string").repartition(3)
     assert len(ngram_join.common_features(docs, 6000, 5)) == 0
+
+
+def test_bitmap_of_many_ids(spark):
+    ids = [*range(-3000, 3000, 3), 2**63 - 1, -(2**63)]
+    among = linking.Among(scratch.save(spark.createDataFrame([(k,) for k in ids], "id long").repartition(3)), most=100)
+    assert not among.exact and among(np.array(ids)).all()
+    assert among(np.arange(10_000, 30_000)).mean() < 0.05
+    assert linking.Among(scratch.save(spark.createDataFrame([(5,)], "id long")))(np.array([4, 5, 6])).tolist() == [False, True, False]
+
+
+def test_many_candidate_lines_send_no_other_texts(spark, monkeypatch):
+    lines = [f"{k} {rng.getrandbits(200)} {rng.getrandbits(200)}" for k in range(300)]
+    near = [line + " x" for line in lines[:30]]
+    docs = scratch.save(spark.createDataFrame([(k, line) for k, line in enumerate(lines + near)], "doc_id long, text string").repartition(3))
+    ids = scratch.save(line_dedup._line_table(docs).where("doc_id < 30 or doc_id >= 300").select(F.col("line_id").alias("id")))
+    chosen = linking.Among
+    monkeypatch.setattr(linking, "Among", lambda ids: chosen(ids, 10))  # as if 60 ids were many
+    texts = line_dedup._texts(docs, ids)
+    assert "Join" not in texts._jdf.queryExecution().executedPlan().toString()
+    got = {bytes(r.bytes).decode() for r in texts.collect()}
+    assert got >= {*lines[:30], *near} and len(got) < 80
+    dropped = {r.doc_id for r in line_dedup.line_components(docs).where("not keep").collect()}
+    assert dropped == {300 + k for k in range(30)}
