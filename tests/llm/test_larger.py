@@ -71,3 +71,9 @@ def test_many_candidate_lines_send_no_other_texts(spark, monkeypatch):
     assert got >= {*lines[:30], *near} and len(got) < 80
     dropped = {r.doc_id for r in line_dedup.line_components(docs).where("not keep").collect()}
     assert dropped == {300 + k for k in range(30)}
+
+
+def test_pipeline_shuffles_signatures_in_parts(spark, shuffled):
+    docs = scratch.save(spark.createDataFrame(list(enumerate(TEXTS + NEAR)), "doc_id long, text string"))
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs, "").collect()}
+    assert kept == set(range(100)) and max(shuffled) < 0.4 * sum(shuffled)
