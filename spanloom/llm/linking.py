@@ -7,7 +7,9 @@ buckets of up to ``small`` members give all their pairs, larger ones a star
 around their least member plus membership rows.  What the stars have not linked is
 compared block by block inside the groups that shared signatures make, so that a
 member's content is sent once for each block of its group and not once for each
-partner; blocks of one component are never compared with each other.
+partner; blocks of one component are never compared with each other.  As a table grows,
+chance candidates join such groups to one that holds most members; a group is
+therefore taken apart into the stars of its links where that sends less.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from .texthash import mix
 
 BLOCK, BYTES, WIDTH, PART = 1024, 4 << 20, 4096, 1 << 20  # members and bytes of a block, columns and numbers handled at once
 ALONE = 250_000  # edges that one task takes
+TIMES = 4  # that all contents are sent at once, on average
 BITS = 1 << 28  # of a bitmap of ids at most
 
 _OUT = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("n", pa.int32())])
@@ -285,7 +288,11 @@ def across(links: DataFrame, comp: DataFrame | None, known: DataFrame | None, pr
     are added.  What the links connect forms groups; a group is dealt into blocks of
     about ``BLOCK`` ids or ``BYTES`` of content by hash, large components by themselves.
     Each pair of its blocks, but those of one component, is one piece of work, which
-    streams by as rows and returns the links of a forest over components.
+    streams by as rows and returns the links of a forest over components.  A group's rows
+    are sent as often as it has blocks; where its stars, each a least id with
+    all that links reach from it, have fewer rows to send, they are groups instead.  A bucket's
+    members are all in the star of the least, so each two that share a signature still meet.
+    What is more than ``TIMES`` the contents is sent in several passes.
     """
     groups = components(links).withColumnRenamed("comp", "grp")
     if comp is not None:
@@ -305,8 +312,16 @@ def across(links: DataFrame, comp: DataFrame | None, known: DataFrame | None, pr
     prepared = scratch.save(contents[0] if len(contents) == 1 else contents[0].union(contents[1]), "contents")
     scratch.release(prepared.sparkSession)
     weight = F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BYTES)
-    weighed = members.join(prepared.select("id", F.length("content").alias("bytes")), "id").groupBy("grp", "comp").agg(weight.alias("weight"))
-    weighed = scratch.save(weighed.withColumn("own", F.col("weight") >= 0.5), "weights")
+
+    def weigh(members: DataFrame) -> DataFrame:
+        weighed = members.join(prepared.select("id", F.length("content").alias("bytes")), "id").groupBy("grp", "comp").agg(F.count("*").alias("n"), weight.alias("weight"))
+        return scratch.save(weighed.withColumn("own", F.col("weight") >= 0.5), "weights")
+
+    weighed = weigh(members)
+    stars = _stars(links, members, weighed)
+    if stars is not None:
+        members = scratch.save(stars, "apart")
+        weighed = weigh(members)
     shared = weighed.where("not own").groupBy("grp").agg(F.ceil(F.sum("weight")).cast("int").alias("shared"))
     dealt = members.join(sized(weighed), ["grp", "comp"]).join(sized(scratch.save(shared, "shared")), "grp", "left")
     # a block: the component that has it for itself or the least long, and a number
@@ -318,9 +333,10 @@ def across(links: DataFrame, comp: DataFrame | None, known: DataFrame | None, pr
     pairs = first.join(second, "grp").where("i <= j and not (i.own and j.own and i.of = j.of)")
     pairs = scratch.save(pairs.withColumn("work", F.monotonically_increasing_id()), "work")
     side = pairs.select("work", "grp", F.lit(0).alias("side"), F.col("i").alias("block")).union(pairs.where("i <> j").select("work", "grp", F.lit(1), "j"))
-    rows = dealt.join(prepared, "id").join(sized(scratch.save(side, "sides")), ["grp", "block"])
+    side = scratch.save(side, "sides")
+    sent = side.join(here, ["grp", "block"]).agg(F.sum("n")).first()[0] or 0
+    passes = max(1, -(-sent // (TIMES * max(1, prepared.count()))))
     tasks = int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("work", "side", "comp", "content").repartition(tasks, "work").sortWithinPartitions("work", "side")
 
     def forest(sides: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
         p, q = sides[0], sides[1] or sides[0]
@@ -346,9 +362,42 @@ def across(links: DataFrame, comp: DataFrame | None, known: DataFrame | None, pr
         if open_work is not None:
             yield from forest(sides)
 
-    found = scratch.save(rows.mapInArrow(scratch.lean(run), "a long, b long"), "across")
+    found = []
+    for nth in range(passes):
+        # by hash, as numbers of work have the partition in their upper bits
+        mine = side if passes == 1 else scratch.save(side.where(F.pmod(F.xxhash64("work"), F.lit(passes)) == nth), "pass")
+        rows = dealt.join(prepared, "id").join(sized(mine), ["grp", "block"])
+        rows = rows.select("work", "side", "comp", "content").repartition(tasks, "work").sortWithinPartitions("work", "side")
+        found.append(scratch.save(rows.mapInArrow(scratch.lean(run), "a long, b long"), "across"))
+        scratch.release(prepared.sparkSession)
     scratch.drop(prepared)
-    return found
+    return reduce(DataFrame.union, found)
+
+
+def _stars(links: DataFrame, members: DataFrame, weighed: DataFrame) -> DataFrame | None:
+    """``members`` (grp, id, comp) with groups replaced by the stars of their links (a, b) where
+    those send fewer rows, or None if that is so nowhere.
+
+    ``weighed``: (grp, comp, n, weight, own).  A star's number is its least id, which is in no other group.
+    """
+    blocks = F.sum(F.when(F.col("own"), F.ceil("weight")).otherwise(0)) + F.ceil(F.sum(F.when(F.col("own"), 0).otherwise(F.col("weight"))))
+    cut = weighed.groupBy("grp").agg((F.sum("n") * blocks).alias("rows"), (F.sum("weight") / F.sum("n")).alias("each"), blocks.alias("blocks")).where("blocks > 1")
+    cut = scratch.save(cut.select("grp", "rows", "each"), "cut")
+    if not cut.take(1):
+        return None
+    members = members.select("grp", "id", "comp")
+    edges = links.select(F.least("a", "b").alias("star"), F.greatest("a", "b").alias("id")).where("star <> id").distinct()
+    within = scratch.save(edges.join(members.join(sized(cut), "grp").select("grp", F.col("id").alias("star"), "rows", "each"), "star"), "within")
+    of_star = within.groupBy("grp", "rows", "each", "star").agg((F.count("*") + 1).alias("n"))
+    less = of_star.groupBy("grp", "rows").agg(F.sum(F.col("n") * F.ceil(F.col("n") * F.col("each"))).alias("apart")).where("apart < rows")
+    apart = scratch.save(less.select("grp"), "less")
+    if not apart.take(1):
+        return None
+    within = within.join(sized(apart), "grp")
+    rows = within.select("star", "id").union(within.select("star", F.col("star").alias("id")).distinct())
+    stars = scratch.save(rows.join(members.select("id", "comp"), "id").select(F.col("star").alias("grp"), "id", "comp"), "stars")
+    several = stars.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("grp")
+    return members.join(sized(apart), "grp", "left_anti").union(stars.join(sized(scratch.save(several, "several")), "grp").select("grp", "id", "comp"))
 
 
 def link(

@@ -77,3 +77,41 @@ def test_pipeline_shuffles_signatures_in_parts(spark, shuffled):
     docs = scratch.save(spark.createDataFrame(list(enumerate(TEXTS + NEAR)), "doc_id long, text string"))
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs, "").collect()}
     assert kept == set(range(100)) and max(shuffled) < 0.4 * sum(shuffled)
+
+
+@pytest.fixture
+def compared(spark, monkeypatch):
+    """Blocks of five members; numbers of members of which blocks compared have been made."""
+    monkeypatch.setattr(linking, "BLOCK", 5)
+    return spark.sparkContext.accumulator(0)
+
+
+def _across(spark, links, sets, made):
+    """Of links (a, b) between numbered sets of numbers, what the second comparison finds."""
+    contents = [(k, np.array(sorted(s), np.uint64).tobytes()) for k, s in enumerate(sets)]
+    known = scratch.save(spark.createDataFrame(contents, "id long, content binary"))
+
+    def as_sets(a, b):
+        made.add(len(a) + len(b))
+        return tuple([np.frombuffer(x, np.uint64) for x in part] for part in (a, b))
+
+    found = linking.across(scratch.save(spark.createDataFrame(links, "a long, b long")), None, known, lambda ids: None, as_sets, 80, 100)
+    return sorted((r.id, r.comp) for r in linking.components(found).collect())
+
+
+def test_a_group_of_chance_candidates_sends_no_more_than_its_links(spark, compared):
+    # every tenth two neighbours are equal, and a chain of candidates joins all 200
+    sets = [{1000 * (k - (k % 10 == 1)) + j << 24 for j in range(10)} for k in range(200)]
+    got = _across(spark, [(k + 1, k) if k % 2 else (k, k + 1) for k in range(199)], sets, compared)
+    assert got == [(k + d, k) for k in range(0, 200, 10) for d in (0, 1)]
+    assert compared.value <= 4 * 200 + 20  # twice as many within a block; 40 blocks of them would be 200 x 40
+
+
+def test_members_of_a_large_bucket_all_meet(spark, compared, monkeypatch):
+    # ten chained buckets of 40, each a star around its least member, whose members are equal in twos
+    save, labels = scratch.save, []
+    monkeypatch.setattr(scratch, "save", lambda df, label="table": labels.append(label) or save(df, label))
+    sets = [{1000 * (k // 2) + j << 24 for j in range(10)} for k in range(400)]
+    links = [(k, k // 40 * 40) for k in range(400) if k % 40] + [(k, k + 40) for k in range(0, 360, 40)]
+    assert _across(spark, links, sets, compared) == [(k, k // 2 * 2) for k in range(400)]
+    assert labels.count("across") > 1  # 9 blocks a star: more than four times the contents is not sent at once
